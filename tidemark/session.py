@@ -30,3 +30,20 @@ def local_session(cores: str | int = "*", app: str = "tidemark") -> SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors unless their path has it already; once for each context."""
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tidemark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "tidemark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._tidemark_shipped = True
