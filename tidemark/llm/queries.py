@@ -10,6 +10,8 @@ from tidemark.session import ship
 #: Query name and the module of its operator.
 MODULES = {
     "op2_token_file": "token_file",
+    "op8_html_text": "html_text",
+    "op9_decontaminate": "decontaminate",
 }
 
 
@@ -25,4 +27,4 @@ def _query(module: str):
 
 
 QUERIES = {name: _query(module) for name, module in MODULES.items()}
-ORACLE_SQL: dict = {}
+ORACLE_SQL = {name: sql for name, module in MODULES.items() if (sql := getattr(importlib.import_module(f"tidemark.llm.{module}"), "SQL", None))}
