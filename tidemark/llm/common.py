@@ -62,6 +62,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int = 7) -> DataFrame:
+    """At most `most` rows of each value of stratum, chosen by a hash of the key: a first filter leaves about twice as
+    many, so that only a bounded number of rows is ranked."""
+    from pyspark.sql import Window
+
+    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    rate = F.lit(0.0)
+    for value, n in counts.items():
+        rate = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, 2.0 * most / n + 50.0 / n))).otherwise(rate)
+    few = df.withColumn("_h", h).where(F.pmod(F.col("_h"), F.lit(1_000_003)) < rate * 1_000_003)
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
+    return ranked.where(F.col("_r") <= most).drop("_h", "_r")
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i mod 2**64 for i up to n at least."""
     have = _POWERS.get("up")
@@ -121,8 +136,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased, split at ASCII white space) and the n + 1 word offsets of the rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (split at ASCII white space; A-Z lower-cased if lower) and the n + 1 word offsets of the rows."""
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
@@ -136,7 +151,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[:-1] = ~solid
     after[first] = True
     ends = np.flatnonzero(solid & after[1:]) + 1
-    hashes = mix(span_hash(prefix_hash(_LOWER[data]), starts, ends))
+    hashes = mix(span_hash(prefix_hash(_LOWER[data] if lower else data), starts, ends))
     return hashes, np.searchsorted(starts, offsets)
 
 
