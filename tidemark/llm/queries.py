@@ -10,6 +10,7 @@ from tidemark.session import ship
 #: Query name and the module of its operator.
 MODULES = {
     "op2_token_file": "token_file",
+    "op5_pseudonyms": "pseudonyms",
     "op6_language": "language",
     "op7_quality": "quality",
     "op8_html_text": "html_text",
