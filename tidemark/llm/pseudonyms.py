@@ -176,8 +176,10 @@ _FORMATS = [
     ("date", 0, re.compile(r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\w]|[-/.]\d)"), _date),
     ("ssn", 0, re.compile(r"\d{3}-\d{2}-\d{4}(?![\w]|-\d)"), _ssn),
     ("card", 0, re.compile(r"\d{13,19}(?!\w)|\d{4}(?:([ -])\d{4})(?:\1\d{4}){1,2}(?:\1\d{1,3})?(?![\w])|\d{4}([ -])\d{6}\2\d{5}(?!\w)"), _card),
-    ("phone", 1, re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){0,4}(?!\w)"), _phone),
-    ("phone", 1, re.compile(r"\(\d{2,5}\)[ .-]?\d{2,5}(?:[ .-]\d{2,5}){1,3}(?!\w)"), _phone),
+    ("phone", 1, re.compile(r"\+1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}(?!\w)"), _phone),
+    ("phone", 1, re.compile(r"\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)"), _phone),
+    ("phone", 1, re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,5}(?:[ -]\d{2,5}){0,4}(?![\w]|\.\d)"), _phone),
+    ("phone", 1, re.compile(r"\(\d{2,5}\)[ .-]?\d{2,5}(?:[ -]\d{2,5}){1,3}(?![\w]|\.\d)"), _phone),
     ("phone", 0, re.compile(r"\d{3}([-.])\d{3}\1\d{4}(?![\w]|[-.]\d)"), _phone),
 ]
 _DIGITS = re.compile(r"[0-9]+")
