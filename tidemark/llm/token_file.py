@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +28,28 @@ from tidemark.llm import common
 
 LENGTH, ROWS, END_ID = 2048, 64, 2
 #: Words of which a task keeps the ids; the memory is then bounded and the words that come again and again are few.
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 900_000
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 itself, the rest from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return [chr(b) if b in plain else chr(256 + sum(x not in plain for x in range(b))) for b in range(256)]
 
 
 class PieceIds(dict):
-    """Ids of what the tokenizer is given as packed bytes; forgets all when full."""
+    """Ids of lower-cased pieces that the pre-tokenizer would not split, as packed bytes; forgets all when full. The
+    vocabulary's merge model is called directly: normaliser and pre-tokenizer would leave such a piece as it is."""
 
     def __init__(self, tokenizer, dtype: str):
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
+        self.model, self.dtype, self.letters = tokenizer.model, dtype, _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_PIECES:
             self.clear()
-        out = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        self[piece] = out
+        letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+        out = self[piece] = array(self.dtype, [x.id for x in self.model.tokenize(letters)]).tobytes()
         return out
 
 
@@ -52,7 +60,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, dtype: str):
         super().__init__()
-        self.pieces = PieceIds(tokenizer, dtype)
+        self.tokenizer, self.pieces = tokenizer, PieceIds(tokenizer, dtype)
         self.splits = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         # Above U+02FF normalisation may compose; U+0130 grows when lower-cased; ' and < start contractions and special tokens.
         self.whole = regex.compile(r"['<\u0130]|[^\x00-\u02ff]")
@@ -63,7 +71,7 @@ class WordIds(dict):
             self.clear()
             self[""] = b""
         if self.whole.search(word):
-            out = self.pieces[word]
+            out = array(self.pieces.dtype, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         else:
             out = b"".join([self.pieces[x.lower()] for x in self.splits.findall(word)])
         self[word] = out
@@ -87,8 +95,8 @@ def word_ids(tokenizer_path: str, end_id: int) -> tuple[WordIds, int]:
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        found = _WORDS[tokenizer_path, end_id] = WordIds(tokenizer, f"<u{width}")
-    return found, np.dtype(found.pieces.dtype).itemsize
+        found = _WORDS[tokenizer_path, end_id] = WordIds(tokenizer, "H" if width == 2 else "I")
+    return found, array(found.pieces.dtype).itemsize
 
 
 def _fs(uri: str):
