@@ -9,7 +9,9 @@ from tidemark.session import ship
 
 #: Query name and the module of its operator.
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_token_file": "token_file",
+    "op4_topk": "topk",
     "op5_pseudonyms": "pseudonyms",
     "op6_language": "language",
     "op7_quality": "quality",
