@@ -17,6 +17,7 @@ MODULES = {
     "op7_quality": "quality",
     "op8_html_text": "html_text",
     "op9_decontaminate": "decontaminate",
+    "op10_ngram_join": "ngram_join",
 }
 
 
