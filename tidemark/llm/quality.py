@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-SAMPLE, SAMPLE_BYTES = 3000, 20_000
+SAMPLE, SAMPLE_BYTES = 2000, 10_000
 DIM, SEEDS, WINDOW, VOCABULARY, HIDDEN = 48, 4, 2, 20_000, 32
 
 
@@ -36,7 +36,7 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros((len(hashes), DIM), np.float32)
     at = np.arange(len(hashes))
     for j in range(SEEDS):
-        h = common.mix(hashes + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        h = common.mix(hashes + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         out[at, (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1).astype(np.float32)
     return out
 
@@ -74,7 +74,11 @@ class Quality:
         return np.where(self.keys[at] == words, at, len(self.keys))
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Pooled vectors of the texts, a row each."""
+        """Pooled vectors of the texts, a row each; computed in pieces, as every word's vectors are looked up."""
+        parts = [self._features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in common.chunks(offsets, 1 << 19)]
+        return np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 6))
+
+    def _features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words, off = common.word_hashes(data, offsets, lower=False)
         n = np.diff(off)
         sums = np.zeros((len(n), 2 * DIM + 6), np.float64)
