@@ -1,11 +1,69 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""The corpus pipeline: five stages from raw documents to token ids.
 
-STAGES: list = []
+Every stage works on all that its predecessor kept. The first four return the columns of `documents`; the last one a
+row per document with its ids. `run` writes what each stage returns to the shared folder, so a lost executor costs at
+most a part of one stage, and no stage computes its predecessors again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontaminate, ngram_join, pieces, pseudonyms, quality
+from tidemark.session import ship
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects (a score under 0.5)."""
+    ship(spark)
+    scored = quality.score(docs, quality.fitted(spark, docs, sf_dir), keep=True)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that n-gram similarity links, keeps the one with the smallest id. Five words and a
+    similarity of 0.8. Rows with a null id stay."""
+    ship(spark)
+    groups = ngram_join.join(docs, words=5, threshold=80)
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain a benchmark item."""
+    ship(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by pseudonyms and counts the characters anew."""
+    ship(spark)
+    named = pseudonyms.pseudonymise(docs)
+    return named.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece ids and their count, checksum, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    ship(spark)
+    return pieces.encode(docs, pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("sentencepiece", token_stage),
+]
+
+#: Trained models and iterated components have no SQL; the tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

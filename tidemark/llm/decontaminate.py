@@ -86,18 +86,23 @@ class ItemIndex:
                         yield r, item, len(s), shared
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:
-    """A row per document and item that it contains: doc_id, item_id, n_item_shingles, n_shared."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _indexes(spark: SparkSession, items: DataFrame, item_id: str, item_text: str, words: int, hashes: int):
+    """A broadcast index for each block of items, of about BLOCK_BYTES of text."""
     own = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, out = max(1, -(-total // BLOCK_BYTES)), None
+    blocks = max(1, -(-total // BLOCK_BYTES))
     for b in range(blocks):
         block = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast(ItemIndex([x[0] for x in block], [x[1] for x in block], words, hashes))
+        if block:
+            yield spark.sparkContext.broadcast(ItemIndex([x[0] for x in block], [x[1] for x in block], words, hashes))
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:
+    """A row per document and item that it contains: doc_id, item_id, n_item_shingles, n_shared."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = None
+    for shared in _indexes(spark, items, item_id, item_text, words, hashes):
 
         def task(batches, shared=shared):
             index = shared.value
@@ -115,6 +120,26 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:
+    """The rows of docs that contain no item; columns as they are. Narrow."""
+    place, schema = docs.columns.index(text), docs.schema
+    for shared in _indexes(docs.sparkSession, items, item_id, item_text, words, hashes):
+
+        def task(batches, shared=shared):
+            index = shared.value
+            for batch in batches:
+                data, off = common.as_bytes(batch.column(place))
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for lo, hi in common.chunks(off):
+                    hashed, woff = common.word_hashes(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                    for r, *_ in index.search(hashed, woff, threshold):
+                        keep[lo + r] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(task, schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -11,6 +11,7 @@ from tidemark.session import ship
 MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
     "op2_token_file": "token_file",
+    "op3_pieces": "pieces",
     "op4_topk": "topk",
     "op5_pseudonyms": "pseudonyms",
     "op6_language": "language",
