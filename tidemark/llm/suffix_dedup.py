@@ -6,17 +6,20 @@ id. Sorting all suffixes of a corpus would move every byte WIDTH times over, so
 1. Every string of WIDTH bytes has an anchor, its GRAM-byte substring of the least hash (leftmost). Equal strings
    have equal anchors at equal places, and consecutive strings share one, so there is one anchor in about 16 bytes.
    Each group of documents sends the hashes of its anchors, once each, to buckets, which answer with a bit for each
-   hash whether it occurs in another document, and one whether it does in many.
-2. For those that do, a group sends the stretch of text whose strings have that anchor, equal stretches once with the
-   smallest id. Anchors that occur in many groups, as at the ends of a passage that a third of all documents hold, send
-   their strings one by one instead, dealt by the string's own hash.
-3. A bucket sorts the suffixes that start at its strings: bottom-up mergesort, all pairs of runs at once, in which two
+   hash whether it occurs in another
+   document.
+2. For those that do, a group sends the hash of the stretch of text whose strings have that anchor, equal stretches
+   once with the smallest id, and learns whether a smaller document has the same stretch (anchor and stretch: two
+   64-bit hashes; then all its strings repeat) and whether the anchor stands in other stretches too.
+3. Only first stretches whose anchor has others send their text. Where an anchor has many, as at the ends of a passage
+   that a third of all documents hold, they send their strings one by one instead, dealt by the string's own hash.
+4. A bucket sorts the suffixes that start at its strings: bottom-up mergesort, all pairs of runs at once, in which two
    suffixes are compared by binary search for their common extension over prefix polynomial hashes. Neighbours whose
    extension reaches WIDTH are compared byte by byte, so a collision of hashes can't join them. Each run of equal
    strings has its smallest document; a bit for each string goes back to its group.
-4. The groups mark what the strings cover, and hash what is left.
+5. The groups mark what the strings cover, and hash what is left.
 
-Shuffled are the texts (once, the exchange is reused), about five bytes an anchor and the repeated stretches; no task
+Shuffled are the texts (once, the exchange is reused), some bytes an anchor and a few repeated stretches; no task
 holds more than a bucket or a group, whose sizes do not grow with the table, and nothing goes to the driver.
 
 Null texts count as empty. Rows with equal ids don't make each other repeat, and answer for themselves; a null id is
@@ -36,8 +39,8 @@ from tidemark.llm import common
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
-#: Bytes of input to a group, anchors to a bucket, and groups from which on an anchor is sent string by string.
-GROUP_BYTES, BUCKET_ANCHORS, MANY = 2 << 20, 200_000, 24
+#: Bytes of input to a group, anchors to a bucket, and stretches from which on an anchor is sent string by string.
+GROUP_BYTES, BUCKET_ANCHORS, MANY = 2 << 20, 200_000, 500
 _LAST = np.int64(2**63 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -94,34 +97,81 @@ class Group:
         more[inverse[self.doc != self.doc[first[inverse]]]] = True
         return keys, more, inverse
 
-    def entries(self, shared: np.ndarray, many: np.ndarray, bits: int):
-        """What is sent of the shared anchors: (bucket, key, smallest id, first string's place, strings, anchor's offset)
-        sorted by bucket and key, one for equal stretches, and for each of them the owners: (entry, id, start, strings)."""
+    def stretches(self, shared: np.ndarray, bits: int) -> Stretches:
+        """The stretches of the shared anchors, equal ones once."""
         _, _, inverse = self.shorts(bits)
         use = np.flatnonzero(shared[inverse])
-        single = use[many[inverse[use]]]
-        whole = use[~many[inverse[use]]]
-        start = np.concatenate([self.start[whole], np.repeat(self.start[single], self.count[single]) + _ranges(self.count[single])])
-        count = np.concatenate([self.count[whole], np.ones(self.count[single].sum(), np.int64)])
-        ids = np.concatenate([self.doc[whole], np.repeat(self.doc[single], self.count[single])])
-        stretch = np.empty(len(start), np.uint64)
-        offset = np.concatenate([self.place[whole] - self.start[whole], np.zeros(len(start) - len(whole), np.int64)])
+        key, start, count, ids = self.hash[use], self.start[use], self.count[use], self.doc[use]
+        offset = self.place[use] - start
+        stretch = self.hashes(start, count + WIDTH - 1)
+        order = np.lexsort((start, ids, offset, count, stretch, key))
+        return Stretches(*(x[order] for x in (key, stretch, count, offset, ids, start)), bits)
+
+    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of text, none of which crosses two documents."""
+        out = np.empty(len(start), np.uint64)
         for lo, hi in common.chunks(self.off):
             base = self.off[lo]
             inside = np.flatnonzero((start >= base) & (start < self.off[hi]))
             if len(inside):
                 prefix = common.prefix_hash(self.data[base : self.off[hi]])
                 a = start[inside] - base
-                stretch[inside] = common.mix(common.span_hash(prefix, a, a + count[inside] + WIDTH - 1))
-        key = np.concatenate([self.hash[whole], stretch[len(whole) :]])
-        order = np.lexsort((start, ids, offset, count, stretch, key))
-        key, stretch, start, count, offset, ids = (x[order] for x in (key, stretch, start, count, offset, ids))
+                out[inside] = common.mix(common.span_hash(prefix, a, a + length[inside]))
+        return out
+
+
+class Stretches:
+    """Different stretches (sorted by anchor and hash) with their smallest id, and their occurrences."""
+
+    def __init__(self, key, stretch, count, offset, ids, start, bits: int):
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (stretch[1:] != stretch[:-1]) | (count[1:] != count[:-1]) | (offset[1:] != offset[:-1])
         head = np.flatnonzero(new)
-        owner = np.cumsum(new) - 1
-        bucket = (key[head] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(head), np.int64)
-        return (bucket, key[head], ids[head], start[head], count[head], offset[head]), (owner, ids, start, count)
+        self.key, self.hash, self.count, self.offset, self.ids, self.start = (x[head] for x in (key, stretch, count, offset, ids, start))
+        self.owner, self.own_ids, self.own_start = np.cumsum(new) - 1, ids, start
+        self.bucket = _bucket(self.key, bits)
+        self.base = np.cumsum(self.count) - self.count
+
+    def sent(self, group: Group, repeated: np.ndarray, mixed: np.ndarray, many: np.ndarray, bits: int):
+        """What goes to the sort: (bucket, key, smallest id, first string, strings, offset) by bucket, and of each its
+        strings' places among all strings of the stretches: (item, place, id)."""
+        own = np.flatnonzero(~repeated & mixed & ~many)
+        apart = np.flatnonzero(~repeated & mixed & many)
+        inner = _ranges(self.count[apart])
+        e = np.repeat(apart, self.count[apart])
+        start = self.start[e] + inner
+        h = group.hashes(start, np.full(len(start), WIDTH))
+        order = np.lexsort((inner, e, self.ids[e], h))
+        h, e, inner, start = h[order], e[order], inner[order], start[order]
+        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        key = np.concatenate([self.key[own], h[head]])
+        ids = np.concatenate([self.ids[own], self.ids[e[head]]])
+        first = np.concatenate([self.start[own], start[head]])
+        count = np.concatenate([self.count[own], np.ones(len(head), np.int64)])
+        offset = np.concatenate([self.offset[own], np.zeros(len(head), np.int64)])
+        rank = np.argsort(key, kind="stable")
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
+        base = np.cumsum(count[rank]) - count[rank]
+        # Places of the items' strings, in the order of the items, and what stretch strings they answer.
+        whole_at = np.repeat(base[back[: len(own)]], self.count[own]) + _ranges(self.count[own])
+        whole_to = np.repeat(self.base[own], self.count[own]) + _ranges(self.count[own])
+        item = len(own) + np.cumsum(new) - 1
+        at = np.concatenate([whole_at, base[back[item]] if len(item) else np.zeros(0, np.int64)])
+        to = np.concatenate([whole_to, self.base[e] + inner])
+        later = np.concatenate([np.zeros(len(whole_at), bool), self.ids[e] > ids[item] if len(item) else np.zeros(0, bool)])
+        return (_bucket(key[rank], bits), key[rank], ids[rank], first[rank], count[rank], offset[rank]), (at, to, later)
+
+
+def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
+def _edges(bucket: np.ndarray):
+    """Begin and end of each bucket in sorted buckets."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True))
 
 
 def _ranges(counts: np.ndarray) -> np.ndarray:
@@ -223,23 +273,34 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-_ANSWER = "grp long, kind int, bucket long, one binary, two binary"
+_ANSWER = "grp long, kind int, bucket long, one binary, two binary, three binary"
+#: Kinds of answers: of anchors, of stretches, of strings.
+_ANCHORS, _STRETCHES, _STRINGS = 1, 2, 3
+
+
+def _told(table: pa.Table, kind: int, columns) -> pa.Table:
+    """Answers to the rows of table: packed bits of each row."""
+    n = table.num_rows
+    columns = [*columns, *[[b""] * n] * (3 - len(columns))]
+    return pa.table({"grp": table.column("grp"), "kind": pa.array([kind] * n, pa.int32()), "bucket": table.column("bucket"), **{c: pa.array(v, pa.binary()) for c, v in zip(("one", "two", "three"), columns, strict=True)}})
 
 
-def _answers(table: pa.Table, kind: int) -> dict[int, tuple[bytes, bytes]]:
-    rows = zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "one", "two")), strict=True)
-    return {b: (x, y) for k, b, x, y in rows if k == kind}
+def _flags(answers: pa.Table, kind: int, bucket: np.ndarray, count: np.ndarray | None = None) -> list[np.ndarray]:
+    """The bits of a kind of answers for what is sorted by bucket; count: bits of each."""
+    ends = np.arange(len(bucket) + 1) if count is None else np.concatenate([[0], np.cumsum(count)])
+    out = [np.zeros(int(ends[-1]), bool) for _ in range(3)]
+    for k, b, *bits in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "one", "two", "three")), strict=True):
+        if k == kind:
+            lo, hi = ends[np.searchsorted(bucket, b)], ends[np.searchsorted(bucket, b, "right")]
+            for flags, data in zip(out, bits, strict=True):
+                if data:
+                    flags[lo:hi] = _unpack(data, int(hi - lo))
+    return out
 
 
-def _flags(group: Group, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """shared and many of the group's different hashes."""
+def _shared(group: Group, answers: pa.Table, bits: int) -> Stretches:
     keys, _, _ = group.shorts(bits)
-    bucket = (keys >> np.uint64(32)).astype(np.int64)
-    shared, many = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    for b, (one, two) in _answers(answers, 1).items():
-        lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
-        shared[lo:hi], many[lo:hi] = _unpack(one, hi - lo), _unpack(two, hi - lo)
-    return shared, many
+    return group.stretches(_flags(answers, _ANCHORS, (keys >> np.uint64(32)).astype(np.int64))[0], bits)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -252,10 +313,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def ask(key, table):
         keys, more, _ = Group.of(table).shorts(bits)
         bucket = (keys >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(bucket))
-        low = (keys & _LOW).astype("<u4")
-        return pa.table({"grp": pa.array([key[0].as_py()] * len(first), pa.int64()), "bucket": pa.array(bucket[first], pa.int64()), "keys": pa.array([low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), "more": pa.array([_pack(more[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())})
+        low, edges = (keys & _LOW).astype("<u4"), _edges(bucket)
+        return pa.table({"grp": pa.array([key[0].as_py()] * len(edges), pa.int64()), "bucket": pa.array([int(bucket[a]) for a, _ in edges], pa.int64()), "keys": pa.array([low[a:b].tobytes() for a, b in edges], pa.binary()), "more": pa.array([_pack(more[a:b]) for a, b in edges], pa.binary())})
 
     def answer(key, table):
         own = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
@@ -264,16 +323,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         more = np.concatenate([_unpack(x, n) for x, n in zip(table.column("more").to_pylist(), sizes, strict=True)])
         shared = counts > 1
         shared[inverse[more]] = True
-        s, m = shared[inverse], (counts > MANY)[inverse]
+        s, ends = shared[inverse], np.cumsum(sizes)
+        return _told(table, _ANCHORS, [[_pack(s[e - n : e]) for e, n in zip(ends, sizes, strict=True)]])
+
+    def ask_stretches(key, table, answers):
+        s = _shared(Group.of(table), answers, bits)
+        low, edges = (s.key >> np.uint64(32 - bits)).astype("<u4"), _edges(s.bucket)
+        out = {"keys": low, "stretches": s.hash, "ids": s.ids}
+        return pa.table({"grp": pa.array([key[0].as_py()] * len(edges), pa.int64()), "bucket": pa.array([int(s.bucket[a]) for a, _ in edges], pa.int64()), **{n: pa.array([x[a:b].tobytes() for a, b in edges], pa.binary()) for n, x in out.items()}})
+
+    def answer_stretches(key, table):
+        """Of each stretch: whether a smaller document has it, whether its anchor has others, whether many."""
+        keys, stretches, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", "<u4"), ("stretches", np.uint64), ("ids", np.int64)))
+        sizes = [len(x) // 8 for x in table.column("ids").to_pylist()]
+        order = np.lexsort((ids, stretches, keys))
+        k, h, i = keys[order], stretches[order], ids[order]
+        edge = np.append(True, k[1:] != k[:-1])
+        new = edge | np.append(True, h[1:] != h[:-1])
+        head = np.flatnonzero(new)
+        repeated = i > i[head][np.cumsum(new) - 1]
+        kinds = np.bincount(np.cumsum(edge) - 1, weights=new)[np.cumsum(edge) - 1]
+        flags = [np.empty(len(order), bool) for _ in range(3)]
+        for f, v in zip(flags, (repeated, kinds > 1, kinds > MANY), strict=True):
+            f[order] = v
+        # Of equal stretches with equal ids in two groups (rows of one id) both stay: neither repeats the other.
         ends = np.cumsum(sizes)
-        return pa.table({"grp": table.column("grp"), "kind": pa.array([1] * len(own), pa.int32()), "bucket": table.column("bucket"), "one": pa.array([_pack(s[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary()), "two": pa.array([_pack(m[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+        return _told(table, _STRETCHES, [[_pack(f[e - n : e]) for e, n in zip(ends, sizes, strict=True)] for f in flags])
 
     def send(key, table, answers):
         group = Group.of(table)
-        (bucket, k, ids, start, count, offset), _ = group.entries(*_flags(group, answers, bits), bits)
-        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        s = _shared(group, answers, bits)
+        (bucket, k, ids, start, count, offset), _ = s.sent(group, *_flags(answers, _STRETCHES, s.bucket), bits)
         out = {"grp": [], "bucket": [], "keys": [], "ids": [], "counts": [], "offsets": [], "text": []}
-        for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True):
+        for a, b in _edges(bucket):
             length = count[a:b] + WIDTH - 1
             place = np.repeat(start[a:b], length) + _ranges(length)
             for name, value in (("grp", key[0].as_py()), ("bucket", int(bucket[a])), ("keys", k[a:b].tobytes()), ("ids", ids[a:b].tobytes()), ("counts", count[a:b].astype(np.uint8).tobytes()), ("offsets", offset[a:b].astype(np.uint8).tobytes()), ("text", group.data[place].tobytes())):
@@ -309,22 +391,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             lo = hi
         ends = np.cumsum([0, *sizes])
         total = np.append(string_base, count.sum())
-        return pa.table({"grp": table.column("grp"), "kind": pa.array([2] * len(sizes), pa.int32()), "bucket": table.column("bucket"), "one": pa.array([_pack(out[total[a] : total[b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "two": pa.array([b""] * len(sizes), pa.binary())})
+        return _told(table, _STRINGS, [[_pack(out[total[a] : total[b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]])
 
     def cut(key, table, answers):
         group = Group.of(table)
-        (bucket, _, ids, _, count, _), (owner, own_ids, start, n) = group.entries(*_flags(group, answers, bits), bits)
-        string_base = np.cumsum(count) - count
-        hit = np.zeros(int(count.sum()), dtype=bool)
-        for b, (one, _) in _answers(answers, 2).items():
-            lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
-            if hi > lo:
-                a, e = string_base[lo], string_base[hi - 1] + count[hi - 1]
-                hit[a:e] = _unpack(one, int(e - a))
-        entry = np.repeat(owner, n)
+        s = _shared(group, answers, bits)
+        repeated_, mixed, many = _flags(answers, _STRETCHES, s.bucket)
+        (bucket, _, _, _, count, _), (at, to, later) = s.sent(group, repeated_, mixed, many, bits)
+        hit = np.repeat(repeated_, s.count)
+        hit[to] |= _flags(answers, _STRINGS, bucket, count)[0][at] | later
+        n = s.count[s.owner]
         inner = _ranges(n)
-        gone = hit[string_base[entry] + inner] | (np.repeat(own_ids, n) > ids[entry])
-        place = (np.repeat(start, n) + inner)[gone]
+        gone = hit[np.repeat(s.base[s.owner], n) + inner] | np.repeat(s.own_ids > s.ids[s.owner], n)
+        place = (np.repeat(s.own_start, n) + inner)[gone]
         size = len(group.data)
         change = np.bincount(place, minlength=size + 1) - np.bincount(place + WIDTH, minlength=size + 1)[: size + 1]
         removed = np.cumsum(change)[:size] > 0
@@ -343,12 +422,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             out["kept"] = pa.array(pieces, pa.binary())
         return pa.table(out)
 
-    asked = rows.groupBy("grp").applyInArrow(ask, "grp long, bucket long, keys binary, more binary")
+    by_group = rows.groupBy("grp")
+    asked = by_group.applyInArrow(ask, "grp long, bucket long, keys binary, more binary")
     told = asked.groupBy("bucket").applyInArrow(answer, _ANSWER)
-    sent = rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(send, "grp long, bucket long, keys binary, ids binary, counts binary, offsets binary, text binary")
-    found = sent.groupBy("bucket").applyInArrow(sort, _ANSWER)
+    asked = by_group.cogroup(told.groupBy("grp")).applyInArrow(ask_stretches, "grp long, bucket long, keys binary, stretches binary, ids binary")
+    told = told.unionByName(asked.groupBy("bucket").applyInArrow(answer_stretches, _ANSWER))
+    sent = by_group.cogroup(told.groupBy("grp")).applyInArrow(send, "grp long, bucket long, keys binary, ids binary, counts binary, offsets binary, text binary")
+    told = told.unionByName(sent.groupBy("bucket").applyInArrow(sort, _ANSWER))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return rows.groupBy("grp").cogroup(told.unionByName(found).groupBy("grp")).applyInArrow(cut, schema)
+    return by_group.cogroup(told.groupBy("grp")).applyInArrow(cut, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
