@@ -47,3 +47,20 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     sc.addPyFile(str(archive))
     sc._tidemark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only where none is set (tests), one of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
+
+
+def written(df, name: str):
+    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
