@@ -80,28 +80,41 @@ def search_block(q_ids, q, floor, x_ids, x, pivots: Pivots, k: int):
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     qq, xx = (qf**2).sum(axis=1), (xf**2).sum(axis=1)
     exact = np.sqrt(qq.max(initial=0)) * np.sqrt(xx.max(initial=0)) < 2**52
+    columns = np.ascontiguousarray(dx.T)
     for i in range(len(q_ids)):
         bound = np.zeros(len(x))
         for p in range(dq.shape[1]):
-            np.maximum(bound, np.abs(dx[:, p] - dq[i, p]), out=bound)
+            np.maximum(bound, np.abs(columns[p] - dq[i, p]), out=bound)
         upper = (qq[i] + xx - bound**2) / 2
         upper += _slack(qq[i] + xx)
         if not dq.shape[1]:
             upper[:] = np.inf
         least = floor[i]
-        order = np.flatnonzero((upper >= least) & (x_ids != q_ids[i]))
-        order = order[np.argsort(-upper[order], kind="stable")]
-        best_s, best_x, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 4 * k
-        while at < len(order) and upper[order[at]] >= least:
-            take = order[at : at + step]
-            s = (xf[take] @ qf[i]).astype(np.int64) if exact else x[take].astype(np.int64) @ q[i].astype(np.int64)
-            best_s, best_x = np.concatenate([best_s, s]), np.concatenate([best_x, take])
+        left = np.flatnonzero((upper >= least) & (x_ids != q_ids[i]))
+        best_s, best_x, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 8 * k
+        while len(left):
+            # The next candidates by their bounds, in growing portions; those below the k-th score never are.
+            if len(left) > step:
+                part = np.argpartition(-upper[left], step - 1)
+                take, left = left[part[:step]], left[part[step:]]
+            else:
+                take, left = left, left[:0]
+            if not exact:
+                s = x[take].astype(np.int64) @ q[i].astype(np.int64)
+            else:
+                s = ((xf @ qf[i])[take] if 3 * len(take) > len(x) else xf[take] @ qf[i]).astype(np.int64)
+            high = s >= least
+            best_s, best_x = np.concatenate([best_s, s[high]]), np.concatenate([best_x, take[high]])
             if len(best_s) > k:
+                kth = np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+                high = best_s >= kth
+                best_s, best_x = best_s[high], best_x[high]
                 rank = np.lexsort((x_ids[best_x], -best_s))[:k]
                 best_s, best_x = best_s[rank], best_x[rank]
             if len(best_s) == k:
                 least = max(least, best_s.min())
-            at, step = at + step, step * 2
+            left = left[upper[left] >= least]
+            step *= 6
         good = best_s >= floor[i]
         yield i, best_x[good], best_s[good]
 
