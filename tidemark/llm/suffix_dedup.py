@@ -170,7 +170,9 @@ def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
 
 def _edges(bucket: np.ndarray):
     """Begin and end of each bucket in sorted buckets."""
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return []
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     return list(zip(first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True))
 
 
