@@ -6,7 +6,6 @@ other than the named ones are ignored, so extra or clashing names do no harm; em
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,37 +14,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_dir, written  # noqa: F401
+
 #: The odd base of all polynomial prefix hashes (mod 2**64) and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests), one of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame, text: str) -> int:
     """Bytes of the texts: Spark's own size estimate where it has one, else a sum over the column."""
     try:

@@ -11,8 +11,9 @@ shingles, and a total order of the pivots breaks the ties; all sets nearest to a
 * Order: pivots that fewer documents hold come first. Documents count every shingle of the corpus to order them, and
   a shingle of one document can't be common, so a document with more of those than its window is out at once.
 * Recursion: a document first meets those of its home region (least hash among its shared shingles), whose links are
-  verified on whole sets and joined to components. The regions of the windows are then joined again, but only those
-  that still hold two components, and only pairs of different components whose bounds allow a link.
+  verified on whole sets and joined to components; ROUNDS times, each with another hash and only in regions that still
+  hold two components. The regions of the windows are then joined, again only those with two components, and only
+  pairs of different components whose bounds allow a link.
 * Exact: a pair is linked only if 100 * intersection >= 100 * threshold * union on the sets (64-bit shingle hashes).
 
 Identical sets are one node from the start. Hot groups: minima are pre-aggregated, home regions above MANY documents
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
-from tidemark.llm.components import components
+from tidemark.operators.graph import components
 
 WORDS, THRESHOLD = 4, 85
-GROUP_BYTES, BUCKET_SHINGLES, MANY, CELLS = 2 << 20, 400_000, 1000, 64
+GROUP_BYTES, BUCKET_SHINGLES, MANY, CELLS, ROUNDS = 2 << 20, 400_000, 1000, 64, 3
 
 
 def sets(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +162,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         keys, counts = np.unique(h >> np.uint64(32 - bits), return_counts=True)
         bucket = (keys >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(bucket))
+        ends = np.append(first[1:], len(bucket)) if len(bucket) else first
         low, some = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(counts, 65535).astype("<u2")
         return pa.table({"grp": pa.array([key[0].as_py()] * len(first), pa.int64()), "bucket": pa.array(bucket[first], pa.int64()), "keys": pa.array([low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()), "counts": pa.array([some[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
@@ -184,7 +185,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
                 lo, hi = np.searchsorted(bucket, b), np.searchsorted(bucket, b, "right")
                 level[lo:hi] = np.frombuffer(one, np.uint8)[: hi - lo]
         levels = level[inverse]
-        out = {"doc_id": [], "n": [], "alone": [], "home": [], "part": [], "pivots": [], "shared": []}
+        out = {"doc_id": [], "n": [], "alone": [], "homes": [], "parts": [], "pivots": [], "shared": []}
         for i in range(len(ids)):
             s, lv = h[off[i] : off[i + 1]], levels[off[i] : off[i + 1]]
             n, common_ones = len(s), s[lv > 0]
@@ -193,22 +194,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
                 continue
             lv = lv[lv > 0]
             order = np.lexsort((common_ones, lv))
-            k = int(np.argmin(common.mix(common_ones)))
-            many = int(math.ceil(2 ** (lv[k] / 8) / MANY))
+            homes, places = [], []
+            for seed in range(1, ROUNDS + 1):
+                k = int(np.argmin(common.mix(common_ones ^ np.uint64(seed))))
+                many = int(math.ceil(2 ** (lv[k] / 8) / MANY))
+                homes.append(int(common_ones[k].view(np.int64)))
+                places.append(int(common.mix(np.array([ids[i]]).astype(np.uint64) + np.uint64(seed))[0] % np.uint64(many)))
             out["doc_id"].append(int(ids[i]))
             out["n"].append(n)
             out["alone"].append(alone)
-            out["home"].append(int(common_ones[k].view(np.int64)))
-            out["part"].append(int(common.mix(np.array([ids[i]]).astype(np.uint64))[0] % np.uint64(many)))
+            out["homes"].append(homes)
+            out["parts"].append(places)
             out["pivots"].append(common_ones[order][: window(n, threshold) + 1 - alone].view(np.int64).tolist())
             out["shared"].append(common_ones.tobytes())
-        types = {"n": pa.int32(), "alone": pa.int32(), "part": pa.int32(), "pivots": pa.list_(pa.int64()), "shared": pa.binary()}
+        types = {"n": pa.int32(), "alone": pa.int32(), "homes": pa.list_(pa.int64()), "parts": pa.list_(pa.int32()), "pivots": pa.list_(pa.int64()), "shared": pa.binary()}
         return pa.table({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
 
     answers = "grp long, kind int, bucket long, one binary"
     asked = rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(ask, "grp long, bucket long, keys binary, counts binary")
     told = told.unionByName(asked.groupBy("bucket").applyInArrow(answer, answers))
-    found = rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(candidates, "doc_id long, n int, alone int, home long, part int, pivots array<long>, shared binary")
+    found = rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(candidates, "doc_id long, n int, alone int, homes array<long>, parts array<int>, pivots array<long>, shared binary")
     cand = common.written(found, "candidates")
 
     def at_home(batches):
@@ -216,10 +221,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         for t in runs(batches, ["home", "part"]):
             n = t.column("n").to_numpy()
             order = np.argsort(n, kind="stable")
-            n, ids = n[order], t.column("doc_id").to_numpy()[order]
+            n, ids, comp = n[order], t.column("doc_id").to_numpy()[order], t.column("component").to_numpy()[order]
             shared = [np.frombuffer(x, np.uint64) for x in t.column("shared").take(pa.array(order, pa.int64())).to_pylist()]
             hist = np.array([histogram(s) for s in shared])
             u, a, b = Union(len(n)), [], []
+            by = np.argsort(comp, kind="stable")
+            for i, j in zip(by[1:].tolist(), by[:-1].tolist(), strict=True):
+                if comp[i] == comp[j]:
+                    u.join(i, j)
             low = np.searchsorted(n, np.ceil(n * threshold / 100 - 1e-9))
             for i in range(1, len(n)):
                 lo = int(low[i])
@@ -233,9 +242,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    home = cand.select("home", "part", "doc_id", "n", "shared").repartition(parts, "home", "part").sortWithinPartitions("home", "part")
-    first = components(home.mapInArrow(at_home, "a long, b long"))
-    first = common.written(first, "regions")
+    first = None
+    for k in range(ROUNDS):
+        # Each round has other homes, by another hash; only regions that still hold two components meet again.
+        here = cand.select(F.element_at("homes", k + 1).alias("home"), F.element_at("parts", k + 1).alias("part"), "doc_id", "n", "shared")
+        if first is None:
+            here = here.withColumn("component", F.col("doc_id"))
+        else:
+            here = here.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            mixed = here.groupBy("home", "part").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("home", "part")
+            here = here.join(mixed, ["home", "part"], "left_semi")
+        home = here.select("home", "part", "doc_id", "n", "component", "shared").repartition(parts, "home", "part").sortWithinPartitions("home", "part")
+        links = home.mapInArrow(at_home, "a long, b long")
+        if first is not None:
+            links = links.unionByName(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        first = common.written(components(links), "regions")
 
     def cells(batches):
         for batch in batches:
