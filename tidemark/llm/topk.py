@@ -47,7 +47,7 @@ class Pivots:
     def __init__(self, sample: list[np.ndarray], count: int):
         lengths = [len(v) for v in sample]
         self.dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
-        own = np.array([v for v in sample if len(v) == self.dim], dtype=np.float64).reshape(-1, self.dim)
+        own = np.array([v for v in sample if len(v) == self.dim], dtype=np.float64).reshape(len(sample) and lengths.count(self.dim), self.dim)
         picked, far = [], np.full(len(own), np.inf)
         while len(picked) < min(count, len(own)):
             k = int(np.argmax(far)) if picked else 0
