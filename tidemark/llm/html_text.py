@@ -2,7 +2,7 @@
 
 Each page is parsed into a tree (one pass of a tag scanner, with HTML's rules for raw text, void elements and implied
 end tags). Navigation, site headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are cut by element, role and class; on what is left every node gets its link-adjusted characters per tag
+are cut by element, role and class (by class only what does not hold the article, see settle); on what is left every node gets its link-adjusted characters per tag
 
     density = C/T * log(C/LC * T/LT) / log(ln(C/(C-LC)*LC + LCb/Cb*C + e))
 
@@ -40,6 +40,8 @@ MARKS = frozenset(
     "subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets related recommended recommendations share "
     "sharing social footer masthead comment comments commentlist disqus reply replies respond popup modal overlay login search pagination pager skip copyright".split()
 )
+#: Those that stand for a block of its own, hardly ever for a wrapper of the page.
+OWN_BLOCK = frozenset("cookie cookies consent gdpr comment comments commentlist disqus reply replies respond popup modal overlay".split())
 _CLOSES_P = BLOCK - {"html", "body"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "option": {"option"}}
 _BARRIER = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
@@ -47,16 +49,17 @@ _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote b i em s
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "kids", "main", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "kids", "main", "cut", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts, self.kids, self.main, self.cut = tag, parent, [], [], False, False
+        self.tag, self.parent, self.parts, self.kids, self.main, self.cut, self.doubt = tag, parent, [], [], False, False, 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
 def _marked(node: Node, attributes: str, inside: bool) -> None:
-    """Sets cut and main by the element and its attributes; inside: an article or main element is open."""
+    """Sets cut and main by the element and its attributes, and doubt (1, or 2 for a block of its own) by words in class
+    or id; inside: an article or main element is open."""
     tag = node.tag
     node.cut = tag in CUT or tag == "header" and not inside
     node.main = tag in ("article", "main")
@@ -74,7 +77,8 @@ def _marked(node: Node, attributes: str, inside: bool) -> None:
             node.cut |= value.lower() == "comment"
         elif name in ("class", "id") and tag not in ("main",):
             words = {x.lower() for x in _WORD.findall(value)}
-            node.cut |= bool(words & MARKS) or "header" in words and not inside and tag != "article"
+            if words & MARKS or "header" in words and not inside and tag != "article":
+                node.doubt = max(node.doubt, 2 if words & OWN_BLOCK else 1)
 
 
 def parse(page: str) -> Node:
@@ -169,14 +173,67 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
+def densest(nodes: list[Node]) -> Node:
+    """The node with the largest sum of densities."""
+    return max(nodes, key=lambda x: x.sum) if any(x.sum for x in nodes) else max(nodes, key=lambda x: x.density)
+
+
+def _weight(node: Node) -> int:
+    """Characters, those in links as a tenth; in tenths."""
+    return 10 * node.chars - 9 * node.link_chars
+
+
+def settle(root: Node) -> list[Node]:
+    """Cuts the nodes in doubt, except those around the article, and weighs what is left.
+
+    A node is kept if it holds most of the text, the largest article or main, or the densest subtree and more text than
+    stands outside all nodes in doubt; a block of its own only if hardly any text stands there. Inside a kept node the
+    next ones in doubt are judged in the same way, so a wrapper stays and the sidebar in it goes."""
+    nodes = weigh(root)
+    if not any(x.doubt for x in nodes):
+        return nodes
+    around, inner = {}, {None: []}
+    for x in nodes:  # the nearest node in doubt: itself or an ancestor
+        up = around.get(x.parent)
+        if x.doubt:
+            inner[up].append(x)
+            inner[x] = []
+        around[x] = x if x.doubt else up
+
+    def holding(node: Node | None) -> set:
+        out, x = set(), around.get(node)
+        while x is not None:
+            out.add(x)
+            x = around.get(x.parent)
+        return out
+
+    with_text = [x for x in nodes[1:] if x.chars]
+    core = holding(densest(with_text) if with_text else None)
+    main = holding(max((x for x in with_text if x.main), key=_weight, default=None))
+    total = _weight(nodes[1])
+    clean = total - sum(_weight(x) for x in inner[None])
+    ahead, kept = inner[None], set()
+    while True:
+        ahead = sorted((x for x in ahead if x in core or x in main or 2 * _weight(x) > total), key=lambda x: x.doubt)
+        found = next((x for x in ahead if (x.doubt < 2 or 10 * clean < total) and (x in main or 2 * _weight(x) > total or _weight(x) > clean)), None)
+        if found is None:
+            break
+        kept.add(found)
+        ahead = [x for x in ahead if x is not found] + inner[found]
+        clean += _weight(found) - sum(_weight(x) for x in inner[found])
+    for x in nodes:
+        x.cut |= x.doubt > 0 and x not in kept
+    return weigh(root)
+
+
 def main_node(root: Node) -> Node | None:
     """The element that holds the article, or None."""
-    nodes = weigh(root)
+    nodes = settle(root)
     body = nodes[1]
     with_text = [x for x in nodes[1:] if x.chars]
     if not with_text:
         return None
-    core = max(with_text, key=lambda x: x.sum) if any(x.sum for x in with_text) else max(with_text, key=lambda x: x.density)
+    core = densest(with_text)
     path = [core]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
