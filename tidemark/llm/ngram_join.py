@@ -58,7 +58,7 @@ def window(n: int, threshold: int) -> int:
 
 def histogram(s: np.ndarray) -> np.ndarray:
     """Shingles per cell of the hash space; sums of two sets' minima bound their intersection."""
-    return np.bincount((s >> np.uint64(32)) % np.uint64(CELLS), minlength=CELLS).astype(np.uint16)
+    return np.bincount((s >> np.uint64(32)) % np.uint64(CELLS), minlength=CELLS).astype(np.uint32)
 
 
 def linked(shared: int, a: int, b: int, threshold: int) -> bool:
@@ -278,7 +278,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
             ids, c, n, pos = (t.column(x).to_numpy() for x in ("doc_id", "component", "n", "pos"))
             order = np.argsort(n, kind="stable")
             ids, c, n, pos = ids[order], c[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-            cells_ = np.frombuffer(b"".join(t.column("cells").take(pa.array(order, pa.int64())).to_pylist()), np.uint16).reshape(len(n), CELLS)
+            cells_ = np.frombuffer(b"".join(t.column("cells").take(pa.array(order, pa.int64())).to_pylist()), np.uint32).reshape(len(n), CELLS)
             low = np.searchsorted(n, np.ceil(n * threshold / 100 - 1e-9))
             a, b = [], []
             for i in range(1, len(n)):
