@@ -22,11 +22,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that n-gram similarity links, keeps the one with the smallest id. Five words and a
-    similarity of 0.8. Rows with a null id stay."""
+    """Of each group of texts that n-gram similarity links, keeps the one with the smallest id (a null id comes last),
+    once. Five words and a similarity of 0.8. Rows of one id with different texts are judged each by itself. Rows
+    without words stay."""
     ship(spark)
-    groups = ngram_join.join(docs, words=5, threshold=80)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    p = F.xxhash64("text")
+    several = common.written(docs.groupBy("doc_id").agg(F.min(p).alias("lo"), F.max(p).alias("hi")).where("doc_id IS NULL OR lo <> hi").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_own")), "several")
+    rows = docs.withColumn("_node", F.col("doc_id"))
+    plain = several.isEmpty()
+    if not plain:  # their nodes are named by a hash of id and text, others by the id
+        marked = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        rows = marked.withColumn("_node", F.when(F.col("_own"), F.xxhash64(F.lit("node"), "doc_id", "text")).otherwise(F.col("doc_id"))).select(*docs.columns, "_node")
+    found = ngram_join.join(rows.select("_node", "text"), id_col="_node", words=5, threshold=80).where("n_shingles > 0")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("n")).withColumnRenamed("doc_id", "_node")
+    found = common.written(found, "nodes")
+    if plain:  # a component is named by its least id
+        found = found.withColumn("kept", F.col("component"))
+    else:  # the least id of each component and, of equal ones, the least node; texts don't move here
+        ids = rows.select("_node", "doc_id").distinct().join(found, "_node")
+        first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_node")).alias("f")).select("component", F.col("f._node").alias("kept"))
+        found = found.join(first, "component")
+    kept = rows.join(found.where("_node <> kept").select("_node"), "_node", "left_anti")
+    again = common.written(found.where("_node = kept AND n > 1").select("_node"), "repeated")
+    if not again.isEmpty():
+        kept = kept.join(again, "_node", "left_anti").unionByName(kept.join(again, "_node", "left_semi").dropDuplicates(["_node"]))
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
