@@ -130,7 +130,7 @@ def test_viterbi_fold(spark):
     v.kind = pieces.UNIGRAM
     v._fill([("<unk>", 0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("▁a", -2.5, 1), ("ba", -3.5, 1), ("▁ab", -6.5, 1)])
     words = ["▁ab", "▁aba", "b", "▁abab", "xa", "▁"]
-    atoms = spark.createDataFrame([(w, 1) for w in words], "atom string, n long")
+    atoms = spark.createDataFrame([(w,) for w in words], "atom string")
     got = {r["atom"]: list(r["ids"]) for r in pieces.lattice(atoms, v).collect()}
     assert got == {w: v.best_path(w) for w in words}
 
