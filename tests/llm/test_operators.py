@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontaminate, html_text, language, ngram_join, pieces, pseudonyms, quality, suffix_dedup, token_file, topk
 
@@ -159,6 +160,15 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rows = [(0, [1.0, 4e7]), (1, [2.0, 3.0]), (2, [-5e7, 1e8]), (20, [3e18, 1.0]), (21, [1e300, -1e300]), (22, [float("nan"), 1.0]), (23, None), (24, [None, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    whole = {i: [max(-(2**63), min(2**63 - 1024, int(np.floor(64 * x)))) for x in v] for i, v in rows if i < 22}
+    for q in (0, 20):
+        want = sorted(((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q), key=lambda t: (-t[0], t[1]))[:3]
+        assert [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
@@ -232,6 +242,25 @@ def test_quality_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_quality_keeps_rows_with_clashing_columns(spark):
+    texts = [(i, (A if i % 2 else "@@ $$ !! " * 9) + f" {i}") for i in range(120)]
+    d = docs(spark, texts).withColumn("predicted", F.lit(7)).withColumn("_h", F.lit(1)).withColumn("y", F.lit(3))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.score(d, quality.fit(d, labels), keep=True)
+    assert kept.columns == d.columns and [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == list(range(1, 120, 2))
+    again = [quality.score(d, quality.fit(d.repartition(n), labels)).orderBy("doc_id").collect() for n in (1, 3)]
+    assert again[0] == again[1]
+    assert quality.score(d.where("false"), quality.Quality()).count() == 0
+
+
+def test_language_rejection(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = language.fit(d)
+    rows = docs(spark, [(1, "qqzx xkqj vvzzq jjqxz wqkzx zzqjq xqxqz kkqzj vqxzj"), (2, d.where("lang = 'en'").first()["text"])])
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(rows, models, reject=True).collect()} == {1: "und", 2: "en"}
+    assert {r["lang_pred"] == "und" for r in language.identify(rows, models).collect()} == {False}
+
+
 def test_quality_without_labels(spark):
     d = docs(spark, [(1, None), (2, ""), (3, A)])
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")

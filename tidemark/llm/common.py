@@ -6,6 +6,7 @@ other than the named ones are ignored, so extra or clashing names do no harm; em
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
 import numpy as np
@@ -53,9 +54,29 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int =
     rate = F.lit(0.0)
     for value, n in counts.items():
         rate = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, 2.0 * most / n + 50.0 / n))).otherwise(rate)
-    few = df.withColumn("_h", h).where(F.pmod(F.col("_h"), F.lit(1_000_003)) < rate * 1_000_003)
-    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key)))
-    return ranked.where(F.col("_r") <= most).drop("_h", "_r")
+    inner = [f"_sample_{c}_{uuid.uuid4().hex[:8]}" for c in "hr"]  # no column of df has these names
+    few = df.withColumn(inner[0], h).where(F.pmod(F.col(inner[0]), F.lit(1_000_003)) < rate * 1_000_003)
+    ranked = few.withColumn(inner[1], F.row_number().over(Window.partitionBy(stratum).orderBy(inner[0], key)))
+    return ranked.where(F.col(inner[1]) <= most).drop(*inner)
+
+
+def learned(rows: DataFrame, learn):
+    """learn(table) of a bounded sample, run in one task of an executor, so that the driver only holds its result."""
+    schema = rows.schema
+
+    def task(batches):
+        batches = list(batches)
+        yield pa.record_batch([pa.array([pickle.dumps(learn(pa.Table.from_batches(batches)) if batches else None)], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(task, "model binary").collect()
+    model = next((m for r in got if (m := pickle.loads(r["model"])) is not None), None)
+    return learn(empty_table(schema)) if model is None else model
+
+
+def empty_table(schema) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema).empty_table()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +138,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (split at ASCII white space; A-Z lower-cased if lower) and the n + 1 word offsets of the rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, spans: bool = False) -> tuple:
+    """Hashes of all words (split at ASCII white space; A-Z lower-cased if lower) and the n + 1 word offsets of the rows;
+    with spans also where the words start and end."""
     n = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), *([none, none] if spans else [])
     solid = ~_SPACE[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = solid[:-1]
@@ -133,7 +156,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     after[first] = True
     ends = np.flatnonzero(solid & after[1:]) + 1
     hashes = mix(span_hash(prefix_hash(_LOWER[data] if lower else data), starts, ends))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), *([starts, ends] if spans else [])
 
 
 _ROLL = np.uint64(0xD6E8FEB86659FD93)

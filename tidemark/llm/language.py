@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-ORDER, SAMPLE, SAMPLE_BYTES, DISCOUNT = 4, 800, 20_000, 0.75
+ORDER, SAMPLE, SAMPLE_BYTES, TOTAL_BYTES, DISCOUNT, REJECTED = 4, 800, 1 << 20, 4 << 20, 0.75, 0.002
 UND = "und"
 _LETTERS = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(1 << 16)])
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,6 +72,7 @@ class Models:
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER, discount: float = DISCOUNT):
         self.langs, self.order, self.temperature = sorted(samples), order, 1.0
+        self.limits = np.full(64, np.inf)
         size = len(self.langs)
         per, alphabet = [], set()
         for lang in self.langs:
@@ -142,7 +143,7 @@ class Models:
         total = np.add.reduceat(lp, off[:-1], axis=0, dtype=np.float64) if len(texts) else np.zeros((0, len(self.langs)))
         return -total / n[:, None], n, n_letters
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str | None], reject: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The best language's place and its probability; place -1 without a letter."""
         entropy, n, n_letters = self.entropies(texts)
         z = -entropy * np.sqrt(n)[:, None] / self.temperature
@@ -150,7 +151,10 @@ class Models:
         p = z / z.sum(axis=1, keepdims=True)
         best = np.argmin(entropy, axis=1)
         score = np.clip(p[np.arange(len(best)), best], 0.0, 1.0)
-        return np.where(n_letters > 0, best, -1), np.where(n_letters > 0, score, 0.0)
+        good = n_letters > 0
+        if reject:
+            good &= entropy.min(axis=1) <= self.limits[np.log2(n).astype(int)]
+        return np.where(good, best, -1), np.where(good, score, 0.0)
 
     def calibrate(self, texts: list[str], truth: list[str]) -> None:
         """Sets the temperature that gives the labelled texts the highest likelihood."""
@@ -165,13 +169,27 @@ class Models:
             loss = float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]))
             best = min(best, (loss, float(t)))
         self.temperature = best[1]
+        # The limit falls with the length: steps of twice the characters, each at most that of the step before.
+        lowest, step, limit = entropy.min(axis=1), np.log2(n).astype(int), np.inf
+        for k in range(64):
+            own = lowest[step == k]
+            if len(own) >= 10:
+                limit = min(limit, float(np.quantile(own, 1 - REJECTED)) * 1.1)
+            self.limits[k] = limit
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Models | None:
     """Models from a bounded sample of rows with text and lang, of which a fifth calibrates the scores."""
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    got = common.bounded_sample(rows, "doc_id", "lang", sample).select("doc_id", "text", "lang").collect()
-    got = sorted(got, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    few = common.bounded_sample(rows, "doc_id", "lang", sample).withColumn("size", size).where(F.col("size") <= TOTAL_BYTES)
+    return common.learned(few.select("doc_id", "lang", "text"), learn)[0]
+
+
+def learn(table: pa.Table) -> tuple[Models | None]:
+    """Models of rows doc_id, lang, text, or None without a letter."""
+    got = sorted(table.select(["lang", "doc_id", "text"]).to_pylist(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
     fitted: dict[str, list[str]] = {}
     kept: list[tuple[str, str]] = []
     for i, r in enumerate(got):
@@ -181,17 +199,17 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Models | None:
             fitted.setdefault(r["lang"], []).append(r["text"])
     fitted = {k: v for k, v in fitted.items() if letters(v)[2].sum()}
     if not fitted:
-        return None
+        return (None,)
     models = Models(fitted)
     kept = [(t, y) for t, y in kept if y in fitted]
     # Short pieces too, or the temperature would only fit whole documents, where errors hardly occur.
     kept += [(" ".join(t.split()[i : i + n]), y) for i, n in ((0, 1), (3, 1), (7, 2), (11, 4)) for t, y in kept if len(t.split()) > i]
     models.calibrate([t for t, _ in kept], [y for _, y in kept])
-    return models
+    return (models,)
 
 
-def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """A row per document: doc_id, held_out, lang_pred, score."""
+def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text: str = "text", reject: bool = False) -> DataFrame:
+    """A row per document: doc_id, held_out, lang_pred, score; with reject, `und` where every language is unlikely."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.held_out(id_col).alias("held_out"), F.col(text).cast("string").alias("text"))
     if models is None:
         return rows.select("doc_id", "held_out", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -204,8 +222,7 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
             sizes = common.as_bytes(batch.column(2))[1]
             for lo, hi in common.chunks(sizes, 1 << 19):
                 part = batch.slice(lo, hi - lo)
-                best, score = models.scores(part.column(2).to_pylist())
-                best = np.where(score < min_score, -1, best)
+                best, score = models.scores(part.column(2).to_pylist(), reject)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -1,38 +1,41 @@
 """Operator 7: document quality by random-indexing word vectors and a two-layer network.
 
-Every word has a sparse random index vector that its hash alone decides (SEEDS signed places of DIM). The vector of a
-vocabulary word is the sum of the index vectors of its neighbours within WINDOW words over the sample, at unit length.
-A document is the mean of its words' vectors, the mean of their index vectors, and a few shares: of words outside the
-vocabulary, repeated neighbours, different words, capital letters and signs, and the log of its length. A network of one hidden layer, written in numpy, maps
-that to a probability; a temperature fitted on a part of the sample that the network does not see calibrates it.
-
-Vocabulary, vectors and network learn from a bounded sample of labelled rows (SAMPLE documents of each label, of up to
-SAMPLE_BYTES, by a hash of the id). Scoring reads whole texts and is narrow: no shuffle.
-
-Null and empty texts are scored too (all sums 0); rows with a null label are not learned from; without both labels all
-scores are the share of label 1, 0.5 if there is none; repeated rows are answered once each; other columns are ignored.
+A word's type is the word itself if the vocabulary has it, else its shape (the kinds of its first and last byte, of the
+bytes between, and its length, in steps). Every type has a sparse random index vector that its hash alone decides
+(SEEDS signed places of DIM). Its context vector is the sum of the index vectors of its neighbours within WINDOW words
+over the sample, each rotated by its distance, so that order counts, at unit length. A word's vector is both.
+
+A document is pooled from its words' vectors alone: their mean, their variance, and the mean product of each with the
+next one. A network of one hidden layer, written in numpy, maps that to a probability; a temperature fitted on a part
+of the sample that the network does not see calibrates it.
+
+Vocabulary, vectors and network learn from a bounded sample of labelled rows (SAMPLE documents of each label by a hash
+of the id, of up to SAMPLE_BYTES each and TOTAL_BYTES in all), in one task of an executor. Scoring reads whole texts and
+is narrow: no shuffle.
+
+Null and empty texts are scored too (all sums 0); rows with a null label are not learned from, nor ids that have both
+labels; of rows with equal ids the least text is learned from; without both labels all scores are the share of label
+1, 0.5 if there is none; repeated rows are answered once each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-SAMPLE, SAMPLE_BYTES = 2000, 10_000
+SAMPLE, SAMPLE_BYTES, TOTAL_BYTES = 2000, 1 << 20, 12 << 20
 DIM, SEEDS, WINDOW, VOCABULARY, HIDDEN = 48, 4, 2, 20_000, 32
 
-
-#: Bytes that are capital ASCII letters, and ASCII signs.
-_UPPER = np.array([65 <= b < 91 for b in range(256)]).astype(np.int64)
-_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)]).astype(np.int64)
+#: Kinds of bytes: 0 others, 1 small and 2 capital ASCII letters, 3 digits, 4 ASCII signs, 5 of longer characters.
+_KIND = np.array([5 if b >= 128 else 1 if 97 <= b < 123 else 2 if 65 <= b < 91 else 3 if 48 <= b < 58 else 4 if 33 <= b < 127 else 0 for b in range(256)], np.uint8)
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """The words' sparse random vectors, dense."""
+    """The types' sparse random vectors, dense."""
     out = np.zeros((len(hashes), DIM), np.float32)
     at = np.arange(len(hashes))
     for j in range(SEEDS):
@@ -41,75 +44,87 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words' shapes, as numbers below SHAPES."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    kind = _KIND[data]
+    inner = np.bitwise_or.reduceat((1 << kind).astype(np.uint8), starts)  # up to the next word; white space has kind 0
+    size = np.minimum(np.ceil(np.log2(ends - starts + 1)).astype(np.int64), 7)
+    return ((kind[starts].astype(np.int64) * 6 + kind[ends - 1]) * 32 + (inner >> 1)) * 8 + size
+
+
+SHAPES = 6 * 6 * 32 * 8
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words, the n + 1 word offsets of the rows, and where the words start and end."""
+    words, off, starts, ends = common.word_hashes(data, offsets, lower=False, spans=True)
+    return words, off, (starts, ends)
+
+
 class Quality:
     """Word vectors and network."""
 
     def __init__(self, prior: float = 0.5):
         self.prior, self.keys, self.net, self.temperature = prior, np.zeros(0, np.uint64), None, 1.0
 
-    def learn_words(self, words: np.ndarray, off: np.ndarray) -> None:
+    def learn_words(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        words, off, _ = split(data, offsets)
         keys, counts = np.unique(words, return_counts=True)
         if len(keys) > VOCABULARY:
-            keys = np.sort(keys[np.argsort(-counts, kind="stable")[:VOCABULARY]])
+            keys = np.sort(keys[np.lexsort((keys, -counts))[:VOCABULARY]])
         self.keys = keys
+        types, off = self.types(data, offsets)
         row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        index, place = index_vectors(keys), self._places(words)
-        vectors = np.zeros((len(keys) + 1, DIM), np.float32)
-        index = np.vstack([index, np.zeros((1, DIM), np.float32)])
+        n = len(self.keys) + SHAPES
+        index = index_vectors(np.concatenate([self.keys, common.mix(np.arange(SHAPES, dtype=np.uint64))]))
+        vectors = np.zeros((n, DIM), np.float32)
         for d in range(1, WINDOW + 1):
             same = row[d:] == row[:-d]
-            a, b = place[:-d][same], place[d:][same]
-            for lo in range(0, len(a), 1 << 18):
-                np.add.at(vectors, a[lo : lo + (1 << 18)], index[b[lo : lo + (1 << 18)]])
-                np.add.at(vectors, b[lo : lo + (1 << 18)], index[a[lo : lo + (1 << 18)]])
+            for own, other, turn in ((types[:-d][same], types[d:][same], d), (types[d:][same], types[:-d][same], -d)):
+                order = np.argsort(own, kind="stable")
+                own, other = own[order], other[order]
+                for lo in range(0, len(own), 1 << 17):
+                    some = own[lo : lo + (1 << 17)]
+                    first = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+                    vectors[some[first]] += np.add.reduceat(np.roll(index, turn, axis=1)[other[lo : lo + (1 << 17)]], first, axis=0)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-        vectors[-1] = 0
-        self.table = np.hstack([vectors, index, np.zeros((len(keys) + 1, 1), np.float32)])
-        self.table[-1, -1] = 1  # counts words outside the vocabulary
+        self.table = np.hstack([vectors, index / np.float32(SEEDS**0.5)])
 
-    def _places(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        return np.where(self.keys[at] == words, at, len(self.keys))
+    def types(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The type of every word, and the n + 1 word offsets of the rows."""
+        words, off, spans = split(data, offsets)
+        at = np.minimum(np.searchsorted(self.keys, words), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == words if len(self.keys) else np.zeros(len(words), bool)
+        return np.where(known, at, len(self.keys) + shapes(data, *spans)), off
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Pooled vectors of the texts, a row each; computed in pieces, as every word's vectors are looked up."""
-        parts = [self._features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in common.chunks(offsets, 1 << 19)]
-        return np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 6))
+        parts = [self._features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in common.chunks(offsets, 1 << 18)]
+        return np.vstack(parts) if parts else np.zeros((0, 6 * DIM))
 
     def _features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        words, off = common.word_hashes(data, offsets, lower=False)
+        types, off = self.types(data, offsets)
         n = np.diff(off)
-        sums = np.zeros((len(n), 2 * DIM + 6), np.float64)
-        full = np.flatnonzero(n)
-        if len(full):
-            place = self._places(words)
-            pooled = np.add.reduceat(self.table[place], off[:-1][full], axis=0)
-            unknown = np.flatnonzero(place == len(self.keys))
-            row = np.repeat(np.arange(len(n)), n)
-            if len(unknown):
-                sparse = np.zeros((len(n), DIM), np.float64)
-                for lo in range(0, len(unknown), 1 << 16):
-                    part = unknown[lo : lo + (1 << 16)]
-                    rows, first = np.unique(row[part], return_index=True)
-                    sparse[rows] += np.add.reduceat(index_vectors(words[part]), first, axis=0)
-                sums[:, DIM : 2 * DIM] += sparse
-            sums[full, : 2 * DIM + 1] += pooled
-            twin = np.zeros(len(n))
-            for d in (1, 2, 3):
-                same = (words[d:] == words[:-d]) & (row[d:] == row[:-d])
-                twin += np.bincount(row[d:][same], minlength=len(n))
-            sums[:, 2 * DIM + 1] = twin
-        sums[:, : 2 * DIM + 2] /= np.maximum(n, 1)[:, None]
-        sums[:, 2 * DIM + 2] = np.log1p(n)
-        if len(full):
-            different = np.unique(words ^ common.mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-            sums[:, 2 * DIM + 3] = np.bincount(row[different], minlength=len(n)) / np.maximum(n, 1)
-            size, have = np.maximum(np.diff(offsets), 1), np.flatnonzero(np.diff(offsets))
-            for k, kind in enumerate((_UPPER, _SIGN)):
-                sums[have, 2 * DIM + 4 + k] = np.add.reduceat(kind[data], offsets[:-1][have]) / size[have]
-        return sums
+        sums = np.zeros((len(n), 3, 2 * DIM))
+        row = np.repeat(np.arange(len(n)), n)
+        for lo in range(0, len(types), 1 << 16):  # a piece and the word after it
+            own = types[lo : lo + (1 << 16) + 1]
+            vectors, where = self.table[own], row[lo : lo + (1 << 16)]
+            first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            size = len(where)
+            sums[where[first], 0] += np.add.reduceat(vectors[:size], first, axis=0)
+            sums[where[first], 1] += np.add.reduceat(vectors[:size] ** 2, first, axis=0)
+            after = row[lo + 1 : lo + 1 + size]
+            product = vectors[: len(after)] * vectors[1 : len(after) + 1]
+            product[where[: len(after)] != after] = 0
+            if len(after):
+                first = np.flatnonzero(np.append(True, after[1:] != after[:-1]))
+                sums[after[first], 2] += np.add.reduceat(product, first, axis=0)
+        sums /= np.maximum(n, 1)[:, None, None]
+        sums[:, 1] -= sums[:, 0] ** 2
+        return sums.reshape(len(n), 6 * DIM)
 
     def learn_labels(self, x: np.ndarray, y: np.ndarray, check_x: np.ndarray, check_y: np.ndarray, epochs: int = 80) -> None:
         """Adam on the mean log loss with weight decay, then the temperature on the rows set apart."""
@@ -150,34 +165,37 @@ class Quality:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Quality:
     """A model from a bounded sample of labelled rows, of which a fifth calibrates it."""
-    own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").dropDuplicates(["doc_id"])
+    own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    own = own.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     few = common.bounded_sample(own, "doc_id", "y", sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    got = rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "y").collect()  # at most 2 * sample ids
-    got = sorted({r["doc_id"]: (r["doc_id"], r["text"], r["y"]) for r in got}.values())
-    y = np.array([r[2] for r in got], dtype=np.float64)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    got = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most 2 * sample ids
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return common.learned(got.withColumn("size", size).where(F.col("size") <= TOTAL_BYTES // 2).select("doc_id", "y", "text"), learn)
+
+
+def learn(table: pa.Table) -> Quality:
+    """A model of rows doc_id, y, text."""
+    table = table.sort_by("doc_id")
+    y = table.column("y").to_numpy().astype(np.float64)
     model = Quality(float(y.mean()) if len(y) else 0.5)
     if len(set(y.tolist())) < 2:
         return model
-    apart = np.arange(len(got)) % 5 == 4
-    data, off = common.as_bytes(pa.array([r[1] for r in got], pa.string()))
-    learn = np.flatnonzero(~apart)
-    text_data, text_off = common.as_bytes(pa.array([got[i][1] for i in learn], pa.string()))
-    model.learn_words(*common.word_hashes(text_data, text_off, lower=False))
-    x = model.features(data, off)
+    apart = np.arange(len(y)) % 5 == 4
+    model.learn_words(*common.as_bytes(table.column("text").filter(pa.array(~apart))))
+    x = model.features(*common.as_bytes(table.column("text")))
     model.learn_labels(x[~apart], y[~apart], x[apart], y[apart])
     return model
 
 
 def score(docs: DataFrame, model: Quality, id_col: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """A row per document: doc_id, held_out, score, predicted; with keep, the columns of docs and `predicted`."""
+    """A row per document: doc_id, held_out, score, predicted; with keep, the rows of docs whose score is 0.5 or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     if keep:
-        rows, place, names = docs, docs.columns.index(text), [f"{f.name}" for f in docs.schema.fields]
-        schema = f"{docs.schema.simpleString()[7:-1]},predicted:int"
+        rows, place, schema = docs, docs.columns.index(text), docs.schema
     else:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.held_out(id_col).alias("held_out"), F.col(text).cast("string").alias("text"))
-        place, names, schema = 2, [], "doc_id long, held_out boolean, score double, predicted int"
+        place, schema = 2, "doc_id long, held_out boolean, score double, predicted int"
 
     def task(batches):
         model = shared.value
@@ -185,11 +203,11 @@ def score(docs: DataFrame, model: Quality, id_col: str = "doc_id", text: str = "
             data, off = common.as_bytes(batch.column(place))
             for lo, hi in common.chunks(off, 1 << 19):
                 p = model.scores(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                part, predicted = batch.slice(lo, hi - lo), pa.array((p >= 0.5).astype(np.int32))
+                part = batch.slice(lo, hi - lo)
                 if keep:
-                    yield pa.record_batch([*part.columns, predicted], names=[*names, "predicted"])
+                    yield part.filter(pa.array(p >= 0.5))
                 else:
-                    yield pa.record_batch([part.column(0), part.column(1), pa.array(p, pa.float64()), predicted], names=["doc_id", "held_out", "score", "predicted"])
+                    yield pa.record_batch([part.column(0), part.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(task, schema)
 

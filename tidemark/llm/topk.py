@@ -11,8 +11,10 @@ first meets a block of its own cell, which gives it a k-th score to beat. Then a
 the blocks whose intervals of pivot distances and norms could still beat the worst of those. Only the blocks' intervals
 are shared with all tasks; at most MOST_BLOCKS of them, as blocks grow beyond that.
 
-Vectors that are null or empty, or hold a null, a non-finite component or one beyond 2**31 when scaled, take no part,
-nor do null ids. Vectors meet only those of their own length. A query's own id is no candidate. Repeated identical
+Components are 32-bit where a vector's all fit, else 64-bit in blocks of their own; scores are exact integers. Scaled
+components and scores beyond a long count as the nearest long.
+
+Vectors that are null or empty, or hold a null or a non-finite component, take no part, nor do null ids. Vectors meet only those of their own length. A query's own id is no candidate. Repeated identical
 rows are one query, and a candidate each. Fewer than k candidates give them all; an empty table gives an empty result.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 K, SCALE, PIVOTS, SAMPLE = 20, 64, 16, 2000
-BLOCK, QUERY_BLOCK, MOST_BLOCKS = 8192, 1024, 100_000
+BLOCK, QUERY_BLOCK, MOST_BLOCKS, WIDE = 8192, 1024, 100_000, 1_000_000_000
 
 
 def scaled(col: pa.Array, scale: int = SCALE) -> list[np.ndarray | None]:
@@ -37,7 +39,12 @@ def scaled(col: pa.Array, scale: int = SCALE) -> list[np.ndarray | None]:
             out.append(None)
             continue
         x = np.floor(scale * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
-        out.append(x.astype(np.int32) if np.isfinite(x).all() and (np.abs(x) < 2**31).all() else None)
+        if not np.isfinite(x).all():
+            out.append(None)
+        elif (np.abs(x) < 2**31).all():
+            out.append(x.astype(np.int32))
+        else:
+            out.append(np.clip(x, -(2.0**63), 2.0**63 - 1024).astype(np.int64))
     return out
 
 
@@ -66,7 +73,16 @@ class Pivots:
 
 
 def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int32).reshape(-1, dim)
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(vectors, np.int64 if len(vectors) == 8 * dim * len(own) else np.int32).reshape(-1, dim)
+
+
+def _products(x: np.ndarray, q: np.ndarray, size: float) -> np.ndarray:
+    """Inner products of integer vectors, none above `size` in magnitude."""
+    if size < 2**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    found = x.astype(object) @ q.astype(object)
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, v)) for v in found], np.int64)
 
 
 def _slack(scale) -> np.ndarray:
@@ -79,7 +95,8 @@ def search_block(q_ids, q, floor, x_ids, x, pivots: Pivots, k: int):
     dq, dx = pivots.distances(q), pivots.distances(x)
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     qq, xx = (qf**2).sum(axis=1), (xf**2).sum(axis=1)
-    exact = np.sqrt(qq.max(initial=0)) * np.sqrt(xx.max(initial=0)) < 2**52
+    size = float(np.sqrt(qq.max(initial=0)) * np.sqrt(xx.max(initial=0)))
+    exact = size < 2**52
     columns = np.ascontiguousarray(dx.T)
     for i in range(len(q_ids)):
         bound = np.zeros(len(x))
@@ -100,7 +117,7 @@ def search_block(q_ids, q, floor, x_ids, x, pivots: Pivots, k: int):
             else:
                 take, left = left, left[:0]
             if not exact:
-                s = x[take].astype(np.int64) @ q[i].astype(np.int64)
+                s = _products(x[take], q[i], size)
             else:
                 s = ((xf @ qf[i])[take] if 3 * len(take) > len(x) else xf[take] @ qf[i]).astype(np.int64)
             high = s >= least
@@ -139,12 +156,13 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, scal
                 vs = scaled(part.column(1), scale)
                 keep = [i for i, v in enumerate(vs) if v is not None]
                 cells = [-len(vs[i]) for i in keep]
+                wide = [WIDE * (vs[i].itemsize == 8) for i in keep]
                 same = [j for j, i in enumerate(keep) if len(vs[i]) == pv.dim]
                 if same and len(pv.vectors):
                     near = np.argmin(pv.distances(np.array([vs[keep[j]] for j in same])), axis=1)
                     for j, c in zip(same, near.tolist(), strict=True):
                         cells[j] = c
-                yield pa.record_batch([part.column(0).take(pa.array(keep, pa.int64())), pa.array(cells, pa.int32()), pa.array([vs[i].tobytes() for i in keep], pa.binary())], names=["vec_id", "cell", "v"])
+                yield pa.record_batch([part.column(0).take(pa.array(keep, pa.int64())), pa.array([c + w if c >= 0 else c - w for c, w in zip(cells, wide, strict=True)], pa.int32()), pa.array([vs[i].tobytes() for i in keep], pa.binary())], names=["vec_id", "cell", "v"])
 
     def packed(df: DataFrame, size: int, name: str, each: bool) -> DataFrame:
         """Blocks of up to about `size` vectors of a cell; each: equal rows stay apart."""
@@ -160,10 +178,11 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, scal
         def pack(table):
             v = table.column("v").combine_chunks()
             data = b"".join(v.to_pylist())
-            return pa.table({"cell": table.column("cell")[:1], "part": table.column("part")[:1], "ids": pa.array([np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()], pa.binary()), "vectors": pa.array([data], pa.binary()), "dim": pa.array([len(data) // 4 // table.num_rows], pa.int32()), "n": pa.array([table.num_rows], pa.int32())})
+            width = 8 if abs(table.column("cell")[0].as_py()) >= WIDE else 4
+            return pa.table({"cell": table.column("cell")[:1], "part": table.column("part")[:1], "ids": pa.array([np.array(table.column("vec_id").to_pylist(), np.int64).tobytes()], pa.binary()), "vectors": pa.array([data], pa.binary()), "dim": pa.array([len(data) // width // table.num_rows], pa.int32()), "n": pa.array([table.num_rows], pa.int32())})
 
         blocks = split.groupBy("cell", "part").applyInArrow(pack, "cell int, part int, ids binary, vectors binary, dim int, n int")
-        return common.written(blocks.withColumn("block", F.col("cell").cast("long") * 1_000_000_000 + F.col("part")), name + "-blocks")
+        return common.written(blocks.withColumn("block", F.col("cell").cast("long") * 1_000_000 + F.col("part")), name + "-blocks")
 
     x_blocks = packed(rows, max(BLOCK, total // MOST_BLOCKS), "vectors", True)
     q_blocks = packed(asked, QUERY_BLOCK, "queries", False)
@@ -174,12 +193,13 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, scal
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, q = _unpack(r["ids"], r["vectors"], r["dim"])
-                floor = np.full(len(q_ids), -(2.0**62))
+                floor = np.full(len(q_ids), -np.inf)
                 if r["x_ids"] is not None:
                     x_ids, x = _unpack(r["x_ids"], r["x_vectors"], r["dim"])
                     for i, _, s in search_block(q_ids, q, floor.copy(), x_ids, x, pv, k):
                         if len(s) >= k:
-                            floor[i] = s.min()
+                            least = float(s.min())  # rounded down where a float can't hold it
+                            floor[i] = least if abs(least) < 2**53 else np.nextafter(least, -np.inf)
                 yield pa.record_batch({"ids": pa.array([r["ids"]], pa.binary()), "vectors": pa.array([r["vectors"]], pa.binary()), "dim": pa.array([r["dim"]], pa.int32()), "floors": pa.array([floor.tobytes()], pa.binary())})
 
     home = x_blocks.where("part = 0").select("cell", F.col("ids").alias("x_ids"), F.col("vectors").alias("x_vectors"))
