@@ -17,8 +17,7 @@ from tidemark.session import ship
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects (a score under 0.5)."""
     ship(spark)
-    scored = quality.score(docs, quality.fitted(spark, docs, sf_dir), keep=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, quality.fitted(spark, docs, sf_dir), keep=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
