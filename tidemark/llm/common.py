@@ -6,6 +6,8 @@ other than the named ones are ignored, so extra or clashing names do no harm; em
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import uuid
 
@@ -60,6 +62,13 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int =
     return ranked.where(F.col(inner[1]) <= most).drop(*inner)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def learned(rows: DataFrame, learn):
     """learn(table) of a bounded sample, run in one task of an executor, so that the driver only holds its result."""
     schema = rows.schema

@@ -135,6 +135,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(h + np.uint64(seed)), dtype=np.uint64)])
                     prints.append((total[soff[1:]] - total[soff[:-1]]).view(np.int64))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(prints[0]), pa.array(prints[1])], names=["doc_id", "n_shingles", "f1", "f2"])
+        common.trim()
 
     signed = common.written(rows.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long"), "signatures")
     reps = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -158,6 +159,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         return ids[order], h, np.concatenate(offs)
 
     def ask(key, table, answers):
+        common.trim()
         _, h, _ = chosen(table, answers)
         keys, counts = np.unique(h >> np.uint64(32 - bits), return_counts=True)
         bucket = (keys >> np.uint64(32)).astype(np.int64)
@@ -177,6 +179,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 
     def candidates(key, table, answers):
         """Documents that can link at all: their shared shingles, the rarest first."""
+        common.trim()
         ids, h, off = chosen(table, answers)
         keys, inverse = np.unique(h >> np.uint64(32 - bits), return_inverse=True)
         bucket, level = (keys >> np.uint64(32)).astype(np.int64), np.zeros(len(keys), np.uint8)
@@ -241,6 +244,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
                         b.append(int(ids[j]))
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        common.trim()
 
     first = None
     for k in range(ROUNDS):
@@ -293,6 +297,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
                     b += ids[j].tolist()
             if a:
                 yield pa.record_batch([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
+        common.trim()
 
     def verified(batches):
         for batch in batches:

@@ -208,6 +208,7 @@ def score(docs: DataFrame, model: Quality, id_col: str = "doc_id", text: str = "
                     yield part.filter(pa.array(p >= 0.5))
                 else:
                     yield pa.record_batch([part.column(0), part.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        common.trim()
 
     return rows.mapInArrow(task, schema)
 
