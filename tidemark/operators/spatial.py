@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import is_finite
 from tidemark.session import written
 
 
@@ -20,25 +21,40 @@ def nearest_within(points: DataFrame, hubs: DataFrame, reach: float) -> DataFram
 
 
 def nearest(points: DataFrame, hubs: DataFrame, reach: float) -> DataFrame:
-    """id, hub, dist of each point's nearest hub, however far: points without a hub within the reach go on with twice
-    of it. A point is settled as soon as a hub is within the reach, so the result is exact."""
-    out, left = None, points
+    """id, hub, dist of each point's nearest hub, however far: points without a hub within the reach go on with four
+    times of it. A point is settled as soon as a hub is within the reach, so the result is exact. Points and hubs with
+    a null or non-finite coordinate take no part; without hubs the result is empty. The reach stops growing at the
+    diagonal of all coordinates, where every point is settled."""
+    whole = lambda d: d.where(is_finite(F.col("x")) & is_finite(F.col("y")))
+    left, hubs = whole(points), whole(hubs)
+    out = left.select("id", F.lit(None).cast("long").alias("hub"), F.lit(None).cast("double").alias("dist")).where("false")
+    ends = left.select("x", "y").unionByName(hubs.select("x", "y")).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)]).first()
     if hubs.isEmpty():
-        return points.select("id", F.lit(None).cast("long").alias("hub"), F.lit(None).cast("double").alias("dist")).where("false")
+        return out
+    widest = 1.0 + abs(ends["max_x"] - ends["min_x"]) + abs(ends["max_y"] - ends["min_y"])
     while not left.isEmpty():
         found = written(nearest_within(left, hubs, reach), "nearest")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found.select("id", F.col("hub").cast("long").alias("hub"), "dist"))
+        if reach > widest:
+            break
         left = written(left.join(found.select("id"), "id", "left_anti"), "far")
-        reach *= 4
-    return out if out is not None else nearest_within(points, hubs, reach)
+        reach = min(reach * 4, 2 * widest) if reach < widest else 2 * widest
+    return out
 
 
 def overlapping(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
-    """Pairs of boxes that overlap (ids a and b; x1, x2, y1, y2): boxes meet in buckets of the x axis, and a pair is
-    kept in the first one they share."""
-    spread = lambda d, k: d.select(F.col(k), *(F.col(c).alias(f"{k}_{c}") for c in ("x1", "x2", "y1", "y2")), F.floor(F.col("x1") / width).alias(f"{k}_first"), F.explode(F.sequence(F.floor(F.col("x1") / width), F.floor(F.col("x2") / width))).alias("bucket"))
-    p = spread(a, "a").join(spread(b, "b"), "bucket")
-    return p.where((F.col("bucket") == F.greatest("a_first", "b_first")) & (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))).select("a", "b")
+    """Pairs of boxes that overlap (ids a and b; x1, x2, y1, y2): boxes meet in square buckets of the width, and a pair
+    is kept in the first one that they share on either axis. Boxes with a null side overlap nothing."""
+    first = lambda c: F.floor(F.col(c) / width)
+    ends = ("x1", "x2", "y1", "y2")
+
+    def spread(d: DataFrame, k: str) -> DataFrame:
+        own = d.where("x1 <= x2 AND y1 <= y2").select(F.col(k), *(F.col(c).alias(f"{k}_{c}") for c in ends), first("x1").alias(f"{k}_bx"), first("y1").alias(f"{k}_by"), F.explode(F.sequence(first("x1"), first("x2"))).alias("bx"), first("y2").alias("last"))
+        return own.select("*", F.explode(F.sequence(F.col(f"{k}_by"), F.col("last"))).alias("by")).drop("last")
+
+    p = spread(a, "a").join(spread(b, "b"), ["bx", "by"])
+    same = (F.col("bx") == F.greatest("a_bx", "b_bx")) & (F.col("by") == F.greatest("a_by", "b_by"))
+    return p.where(same & (F.col("a_x1") <= F.col("b_x2")) & (F.col("b_x1") <= F.col("a_x2")) & (F.col("a_y1") <= F.col("b_y2")) & (F.col("b_y1") <= F.col("a_y2"))).select("a", "b")
 
 
 def samples(lines: DataFrame, step: float = 1.0) -> DataFrame:
