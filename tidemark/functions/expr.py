@@ -58,6 +58,12 @@ ALPHA = (
     49561 * _N**4 / 161280,
 )
 ECCENTRICITY = 2 * math.sqrt(_N) / (1 + _N)
+BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
 
 
 def utm_project(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -75,6 +81,28 @@ def utm_project(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.lit(0.9996 * RADIUS) * x + 500000.0, F.lit(0.9996 * RADIUS) * y + F.when(lat < 0, F.lit(1e7)).otherwise(F.lit(0.0))
 
 
+def utm_unproject(x: Column, y: Column, zone: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing in a zone given by its EPSG code (326zz north, 327zz south):
+    the series backwards, then the latitude from its conformal one by four steps of a fixed-point iteration."""
+    south, number = zone >= 32700, F.pmod(zone, F.lit(100))
+    xi, eta = (y - F.when(south, F.lit(1e7)).otherwise(F.lit(0.0))) / F.lit(0.9996 * RADIUS), (x - 500000.0) / F.lit(0.9996 * RADIUS)
+    a, b = xi, eta
+    for j, k in enumerate(BETA, 1):
+        a = a - F.lit(k) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+        b = b - F.lit(k) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+    target = F.sin(a) / F.sqrt(F.sinh(b) * F.sinh(b) + F.cos(a) * F.cos(a))  # tangent of the conformal latitude
+    e = ECCENTRICITY
+
+    def step(t: Column, _: Column) -> Column:
+        s = F.sinh(F.atanh(t / F.sqrt(1 + t * t) * e) * e)
+        own = t * F.sqrt(1 + s * s) - s * F.sqrt(1 + t * t)
+        slope = F.sqrt((1 + own * own) * (1 + t * t)) * (1 - e * e) / (1 + (1 - e * e) * t * t)
+        return t + (target - own) / slope
+
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(4)), target, step)
+    return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + number * 6 - 183, F.degrees(F.atan(t))
+
+
 def geodesic_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, steps: int = 6) -> Column:
     """Distance on the WGS 84 ellipsoid by Vincenty's inverse formula with a fixed number of iterations (a point pair
     that is nearly antipodal does not converge). The iteration is a fold over a small struct, inside the JVM."""

@@ -59,7 +59,8 @@ def verdicts(texts: DataFrame, facts: DataFrame, id_col: str, text: str, toleran
     fits = ((F.col("v") == 0) & (F.col("value") == 0)) | ((F.col("v") != 0) & (F.abs(F.col("value") - F.col("v")) <= F.abs(F.col("v")) * tolerance))
     open_ = n.where(~known).withColumn("bucket", bucket(F.col("value")))
     hit = open_.select("id", "place", "value", "bucket").distinct().join(f, "bucket").where(fits).groupBy("id", "place", "value").agg(F.min(F.struct("ord", "fact_id"))["fact_id"].alias("fact_id"))
-    x = n.join(hit, (n["id"].eqNullSafe(hit["id"])) & (n["place"] == hit["place"]) & (n["value"] == hit["value"]), "left").select(n["id"], n["place"], n["value"], "text", "start", "end", F.when(known, "BASELINE_CONSTANT").otherwise(F.coalesce("fact_id", F.lit("VIOLATION"))).alias("verdict"))
+    hit = hit.select(F.col("id").alias("h_id"), F.col("place").alias("h_place"), F.col("value").alias("h_value"), "fact_id")
+    x = n.join(hit, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("place") == F.col("h_place")) & (F.col("value") == F.col("h_value")), "left").select("id", "place", "value", "text", "start", "end", F.when(known, "BASELINE_CONSTANT").otherwise(F.coalesce("fact_id", F.lit("VIOLATION"))).alias("verdict"))
     return x.select("id", "place", "value", "verdict", F.when(F.col("verdict") == "VIOLATION", context(F.col("text"), F.col("start"), F.col("end"))).alias("sentence"))
 
 

@@ -8,7 +8,7 @@ import importlib
 from tidemark.session import ship
 
 FLAGSHIP = "rescue_priority_rank"
-MODULES = ["ranking_queries", "metric_queries", "grid_queries", "graph_queries", "text_queries", "spatial_queries", "damage_queries", "scene_queries"]
+MODULES = ["ranking_queries", "metric_queries", "grid_queries", "graph_queries", "text_queries", "spatial_queries", "damage_queries", "scene_queries", "layer_queries"]
 
 
 def _shipped(query):
