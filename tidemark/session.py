@@ -64,6 +64,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget tables that no variable holds any longer; Spark then deletes their shuffle files and
+    broadcasts, which else stay until the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df, name: str):
     """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     import uuid
