@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 from tidemark.operators.graph import components
+from tidemark.session import release
 
 WORDS, THRESHOLD = 4, 85
 GROUP_BYTES, BUCKET_SHINGLES, MANY, CELLS, ROUNDS = 2 << 20, 400_000, 1000, 64, 3
@@ -218,16 +219,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     told = told.unionByName(asked.groupBy("bucket").applyInArrow(answer, answers))
     found = rows.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(candidates, "doc_id long, n int, alone int, homes array<long>, parts array<int>, pivots array<long>, shared binary")
     cand = common.written(found, "candidates")
+    del found, asked, told
+    release(spark)
 
     def at_home(batches):
         """Links of a region's documents, each verified on whole sets; documents already joined need no other."""
         for t in runs(batches, ["home", "part"]):
             n = t.column("n").to_numpy()
             order = np.argsort(n, kind="stable")
-            n, ids, comp = n[order], t.column("doc_id").to_numpy()[order], t.column("component").to_numpy()[order]
+            n, comp = n[order], t.column("component").to_numpy()[order]
             shared = [np.frombuffer(x, np.uint64) for x in t.column("shared").take(pa.array(order, pa.int64())).to_pylist()]
             hist = np.array([histogram(s) for s in shared])
-            u, a, b = Union(len(n)), [], []
+            u = Union(len(n))
             by = np.argsort(comp, kind="stable")
             for i, j in zip(by[1:].tolist(), by[:-1].tolist(), strict=True):
                 if comp[i] == comp[j]:
@@ -240,8 +243,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
                 for j in near[np.argsort(-most[near - lo], kind="stable")].tolist():
                     if u.find(i) != u.find(j) and linked(overlap(shared[i], shared[j]), int(n[i]), int(n[j]), threshold):
                         u.join(i, j)
-                        a.append(int(ids[i]))
-                        b.append(int(ids[j]))
+            # Stars around the least component of each set, so that few rounds join them.
+            roots, least = [u.find(i) for i in range(len(n))], {}
+            for r, c in zip(roots, comp.tolist(), strict=True):
+                least[r] = min(c, least.get(r, c))
+            pairs = {(c, least[r]) for r, c in zip(roots, comp.tolist(), strict=True) if c != least[r]}
+            a, b = [x for x, _ in pairs], [x for _, x in pairs]
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         common.trim()
@@ -261,6 +268,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         if first is not None:
             links = links.unionByName(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         first = common.written(components(links), "regions")
+        del here, home, links
+        release(spark)
 
     def cells(batches):
         for batch in batches:
@@ -310,6 +319,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     stars = first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = common.written(components(stars.unionByName(second)), "components")
 
+    release(spark)
     classes = signed.join(reps, ["n_shingles", "f1", "f2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return classes.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
