@@ -62,8 +62,22 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int =
     return ranked.where(F.col(inner[1]) <= most).drop(*inner)
 
 
+def _thrifty() -> None:
+    """Arrays from a MB on are mapped one by one and go back to the system when they are freed: Python workers live on
+    after a task, idle ones too, and what each keeps of its largest task would add up. Where the C library has no such
+    switch, nothing changes."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc, mapped, trimmed = ctypes.CDLL(None), -3, -1  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        libc.mallopt(mapped, 1 << 20)
+        libc.mallopt(trimmed, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_thrifty()
+
+
 def trim() -> None:
-    """Gives freed memory back to the system: Python workers live on after a task, and what they keep adds up."""
+    """Gives what is free now back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -109,9 +109,9 @@ class Quality:
         n = np.diff(off)
         sums = np.zeros((len(n), 3, 2 * DIM))
         row = np.repeat(np.arange(len(n)), n)
-        for lo in range(0, len(types), 1 << 16):  # a piece and the word after it
-            own = types[lo : lo + (1 << 16) + 1]
-            vectors, where = self.table[own], row[lo : lo + (1 << 16)]
+        for lo in range(0, len(types), 1 << 14):  # a piece and the word after it
+            own = types[lo : lo + (1 << 14) + 1]
+            vectors, where = self.table[own], row[lo : lo + (1 << 14)]
             first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
             size = len(where)
             sums[where[first], 0] += np.add.reduceat(vectors[:size], first, axis=0)
