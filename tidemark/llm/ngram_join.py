@@ -277,9 +277,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 
     comp = cand.select("doc_id").distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     step = math.log(100 / threshold) if threshold < 100 else 1.0
-    spread = cand.select("doc_id", "n", "alone", "pivots").join(comp, "doc_id").select("doc_id", "n", "alone", "component", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).cast("int").alias("cls"), F.posexplode("pivots").alias("pos", "pivot"))
+    # Regions that one component has to itself go first, whatever the sizes, so that only what is left is dealt twice.
+    near = cand.select("doc_id", "n", "alone", "pivots").join(comp, "doc_id").select("doc_id", "n", "alone", "component", F.posexplode("pivots").alias("pos", "pivot"))
+    shared = near.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot")
+    spread = common.written(near.join(shared, "pivot", "left_semi").select("doc_id", "n", (F.col("pos") + F.col("alone")).alias("pos"), "component", "pivot", F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).cast("int").alias("cls")), "windows")
+    del near, shared, comp
+    release(spark)
     # A set meets those of its own size class and of the one below.
-    spread = spread.select("doc_id", "n", (F.col("pos") + F.col("alone")).alias("pos"), "component", "pivot", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"))
+    spread = spread.withColumn("cls", F.explode(F.array("cls", F.col("cls") + 1)))
     open_ = spread.groupBy("pivot", "cls").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot", "cls")
     still = spread.join(open_, ["pivot", "cls"], "left_semi")
     hist = cand.select("doc_id", "shared").mapInArrow(cells, "doc_id long, cells binary")
