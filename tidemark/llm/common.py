@@ -62,10 +62,16 @@ def bounded_sample(df: DataFrame, key: str, stratum: str, most: int, seed: int =
     return ranked.where(F.col(inner[1]) <= most).drop(*inner)
 
 
-def _thrifty() -> None:
-    """Arrays from a MB on are mapped one by one and go back to the system when they are freed: Python workers live on
+_THRIFTY: list[bool] = []
+
+
+def thrifty() -> None:
+    """For tasks that run in long pipelines, once a process: arrays from a MB on are mapped one by one and go back to the system when they are freed: Python workers live on
     after a task, idle ones too, and what each keeps of its largest task would add up. Where the C library has no such
-    switch, nothing changes."""
+    switch, nothing changes. It costs time, so only the operators that need it call it."""
+    if _THRIFTY:
+        return
+    _THRIFTY.append(True)
     with contextlib.suppress(OSError, AttributeError):
         libc, mapped, trimmed = ctypes.CDLL(None), -3, -1  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
         libc.mallopt(mapped, 1 << 20)
@@ -73,9 +79,6 @@ def _thrifty() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-_thrifty()
-
-
 def trim() -> None:
     """Gives what is free now back to the system."""
     pa.default_memory_pool().release_unused()

@@ -126,6 +126,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 
     def sign(batches):
         """Each document's set size and fingerprint."""
+        common.thrifty()
         for batch in batches:
             data, off = common.as_bytes(batch.column(1))
             for lo, hi in common.chunks(off):
@@ -160,7 +161,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         return ids[order], h, np.concatenate(offs)
 
     def ask(key, table, answers):
-        common.trim()
+        common.thrifty()
         _, h, _ = chosen(table, answers)
         keys, counts = np.unique(h >> np.uint64(32 - bits), return_counts=True)
         bucket = (keys >> np.uint64(32)).astype(np.int64)
@@ -180,7 +181,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 
     def candidates(key, table, answers):
         """Documents that can link at all: their shared shingles, the rarest first."""
-        common.trim()
+        common.thrifty()
         ids, h, off = chosen(table, answers)
         keys, inverse = np.unique(h >> np.uint64(32 - bits), return_inverse=True)
         bucket, level = (keys >> np.uint64(32)).astype(np.int64), np.zeros(len(keys), np.uint8)

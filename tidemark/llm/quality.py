@@ -198,6 +198,7 @@ def score(docs: DataFrame, model: Quality, id_col: str = "doc_id", text: str = "
         place, schema = 2, "doc_id long, held_out boolean, score double, predicted int"
 
     def task(batches):
+        common.thrifty()
         model = shared.value
         for batch in batches:
             data, off = common.as_bytes(batch.column(place))
