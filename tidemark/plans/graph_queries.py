@@ -1,9 +1,8 @@
-"""Graph queries: customers and suppliers are places, order lines roads between them, returned lines flooded ones."""
+"""Graph queries: customers and suppliers are places, all order lines roads between them; returned lines and those of a
+quantity under HIGH are flooded."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,48 +11,49 @@ from tidemark.operators import graph
 from tidemark.session import table
 
 
-#: What the queries of the plain names keep of the tables, as their SQL does; and the hubs of those over all roads.
-FEW_ROADS, FEW_HUBS, HUBS = "l_quantity >= 50 AND l_shipdate < '1998-01-01'", "s_suppkey <= 5", "s_suppkey % 5 = 0"
+#: Which roads stay above the water, and which suppliers are hubs.
+HIGH, HUBS = 50, "s_suppkey % 5 = 0"
 
 
-def edges(spark, sf, every=False):
-    """Even nodes are customers, odd ones suppliers; all order lines, or those of few roads that SQL's recursions can follow."""
+def edges(spark, sf):
+    """Even nodes are customers, odd ones suppliers; an edge for every order line."""
     l, o, p = table(spark, sf, "lineitem"), table(spark, sf, "orders"), table(spark, sf, "part")
-    x = (l if every else l.where(FEW_ROADS)).join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
-    return x.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("edge_id"), (F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"), (F.col("l_returnflag") == "R").alias("flooded"), (F.col("p_type") == "ECONOMY").alias("is_bridge"), (F.col("l_tax") * 10).alias("fraction"), (F.col("l_discount") * 1000 + 1).alias("length"), F.col("p_brand").alias("name"), (F.col("p_size") > 25).alias("major"))
+    x = l.join(o, l.l_orderkey == o.o_orderkey).join(p, l.l_partkey == p.p_partkey)
+    flooded = (F.col("l_returnflag") == "R") | (F.col("l_quantity") < HIGH)
+    return x.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("edge_id"), (F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"), flooded.alias("flooded"), (F.col("p_type") == "ECONOMY").alias("is_bridge"), (F.col("l_tax") * 10).alias("fraction"), (F.col("l_discount") * 1000 + 1).alias("length"), F.col("p_brand").alias("name"), (F.col("p_size") > 25).alias("major"))
 
 
-def hubs(spark, sf, every=False):
-    return table(spark, sf, "supplier").where(HUBS if every else FEW_HUBS).select((F.col("s_suppkey") * 2 + 1).alias("node"))
+def hubs(spark, sf):
+    return table(spark, sf, "supplier").where(HUBS).select((F.col("s_suppkey") * 2 + 1).alias("node"))
 
 
-def connected_components(spark, sf, every=False):
-    return graph.components(edges(spark, sf, every))
+def connected_components(spark, sf):
+    return graph.components(edges(spark, sf))
 
 
-def isolated_nodes(spark, sf, every=False):
-    return graph.isolated(edges(spark, sf, every), hubs(spark, sf, every))
+def isolated_nodes(spark, sf):
+    return graph.isolated(edges(spark, sf), hubs(spark, sf))
 
 
-def _clusters(spark, sf, every=False):
-    e = edges(spark, sf, every)
-    return e, graph.clusters(e.where("NOT flooded"), graph.isolated(e, hubs(spark, sf, every)))
+def _clusters(spark, sf):
+    e = edges(spark, sf)
+    return e, graph.clusters(e.where("NOT flooded"), graph.isolated(e, hubs(spark, sf)))
 
 
-def cluster_metrics(spark, sf, every=False):
+def cluster_metrics(spark, sf):
     """Size, name, people (from the node count) and extent of each cut-off community."""
-    _, c = _clusters(spark, sf, every)
+    _, c = _clusters(spark, sf)
     g = c.groupBy("component").agg(F.count("*").alias("n_nodes"), F.max("node").alias("last_node"))
     nn = F.lpad(F.row_number().over(Window.orderBy(F.desc("n_nodes"), "component")).cast("string"), 4, "0")
     return g.select("component", "n_nodes", "last_node", F.concat(F.when(F.col("n_nodes") > 1, "Village_Cluster_").otherwise("Isolated_Junction_"), nn).alias("cluster_id"), F.greatest(F.col("n_nodes") * 75, F.lit(50)).alias("population"))
 
 
-def multi_source_distance(spark, sf, every=False):
-    return graph.distances(edges(spark, sf, every), hubs(spark, sf, every)).select("node", rounded(F.col("dist"), 4).alias("dist"))
+def multi_source_distance(spark, sf):
+    return graph.distances(edges(spark, sf), hubs(spark, sf)).select("node", rounded(F.col("dist"), 4).alias("dist"))
 
 
-def classify_reachability(spark, sf, every=False):
-    e, h = edges(spark, sf, every), hubs(spark, sf, every)
+def classify_reachability(spark, sf):
+    e, h = edges(spark, sf), hubs(spark, sf)
     pre = graph.distances(e, h).select("node", (F.col("dist") / 1000).alias("pre"))
     post = graph.distances(e.where("NOT flooded"), h).select("node", (F.col("dist") / 1000).alias("post"))
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -61,15 +61,15 @@ def classify_reachability(spark, sf, every=False):
     return nodes.join(pre, "node", "left").join(post, "node", "left").select("node", status.alias("status"), rounded(ratio, 4).alias("delay_ratio"))
 
 
-def severed_bottlenecks(spark, sf, every=False):
+def severed_bottlenecks(spark, sf):
     """Flooded edges with exactly one end in a cluster."""
-    e, c = _clusters(spark, sf, every)
+    e, c = _clusters(spark, sf)
     return graph.boundary(e.where("flooded"), c).where("boundary").select("component", "edge_id", "a", "b", "is_bridge")
 
 
-def cluster_obstacles(spark, sf, every=False):
+def cluster_obstacles(spark, sf):
     """The three worst different obstacles of each cluster, boundary ones if any."""
-    e, c = _clusters(spark, sf, every)
+    e, c = _clusters(spark, sf)
     x = graph.boundary(e.where("flooded"), c)
     own = Window.partitionBy("component")
     x = x.withColumn("any", F.max(F.col("boundary").cast("int")).over(own)).where((F.col("any") == 0) | F.col("boundary"))
@@ -81,8 +81,8 @@ def cluster_obstacles(spark, sf, every=False):
     return g.select("component", F.array_join(F.transform("l", lambda s: s["t"]), "; ").alias("obstacles"), "has_bridge_cut", "has_highway_cut")
 
 
-def edge_adjacency_bridges(spark, sf, every=False):
-    return graph.assess_bridges(edges(spark, sf, every))
+def edge_adjacency_bridges(spark, sf):
+    return graph.assess_bridges(edges(spark, sf))
 
 
 def graph_build_merge_nodes(spark, sf):
@@ -95,13 +95,10 @@ def graph_build_merge_nodes(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (connected_components, isolated_nodes, cluster_metrics, multi_source_distance, classify_reachability, severed_bottlenecks, cluster_obstacles, edge_adjacency_bridges, graph_build_merge_nodes)}
-#: The same over every order line, with hubs whose number grows with the table.
-ALL_ROADS = {f"{f.__name__}_all_roads": functools.partial(f, every=True) for f in (connected_components, isolated_nodes, cluster_metrics, multi_source_distance, classify_reachability, severed_bottlenecks, cluster_obstacles, edge_adjacency_bridges)}
-QUERIES |= ALL_ROADS
 
 _R = "floor(({0}) * 1e{1} + 0.5) / 1e{1}"
-_E = """e AS MATERIALIZED (SELECT l_orderkey * 100 + l_linenumber AS edge_id, o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, l_returnflag = 'R' AS flooded, p_type = 'ECONOMY' AS is_bridge, l_tax * 10 AS fraction, l_discount * 1000 + 1 AS length, p_brand AS name, p_size > 25 AS major
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_shipdate < '1998-01-01'), hub AS MATERIALIZED (SELECT s_suppkey * 2 + 1 AS node FROM supplier WHERE s_suppkey <= 5)"""
+_E = """e AS MATERIALIZED (SELECT l_orderkey * 100 + l_linenumber AS edge_id, o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, (l_returnflag = 'R' OR l_quantity < 50) AS flooded, p_type = 'ECONOMY' AS is_bridge, l_tax * 10 AS fraction, l_discount * 1000 + 1 AS length, p_brand AS name, p_size > 25 AS major
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), hub AS MATERIALIZED (SELECT s_suppkey * 2 + 1 AS node FROM supplier WHERE s_suppkey % 5 = 0)"""
 
 
 def _reach(name: str, source: str, seeds: str) -> str:
@@ -141,4 +138,3 @@ SQL = {
  SELECT edge_id, a, b, failure_mode, {_R.format("CASE WHEN w AND ff >= 0.5 THEN least(0.70::DOUBLE + 0.30::DOUBLE * least(1.0, greatest(0.0, (ff - 0.5) / 0.5)) + CASE WHEN u OR v THEN 0.05::DOUBLE ELSE 0 END, 1.0) WHEN w THEN least(0.50::DOUBLE + 0.30::DOUBLE * least(1.0, ff / 0.5) + CASE WHEN u OR v THEN 0.15::DOUBLE ELSE 0 END, 1.0) WHEN u OR v THEN CASE WHEN u AND v THEN 0.80::DOUBLE ELSE 0.60::DOUBLE END WHEN ff > 0.01 THEN 0.40::DOUBLE + 0.30::DOUBLE * ff ELSE 0.0 END", 2)} AS damage_score, failure_mode <> '' AS likely_damaged FROM y""",
     "graph_build_merge_nodes": "SELECT round_even(c_acctbal / 500.0::DOUBLE, 0)::BIGINT AS gx, round_even((c_custkey % 100) * 37.5::DOUBLE / 500.0::DOUBLE, 0)::BIGINT AS gy, min(c_custkey) AS first_id, min_by(c_acctbal, c_custkey) AS x, count(*) AS merged FROM customer GROUP BY 1, 2",
 }
-SQL |= {name: SQL[name.removesuffix("_all_roads")].replace(f" WHERE {FEW_ROADS}", "").replace(FEW_HUBS, HUBS) for name in ALL_ROADS}
