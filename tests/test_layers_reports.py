@@ -107,3 +107,9 @@ def test_sentences_keep_digits_at_their_ends(spark):
     text = "".join(f"{i}1 starts, ends with {i}{i}.  \n" for i in range(12)) + "a!\x0bb"
     got = spark.createDataFrame([(text,)], "text string").select(reports.sentences(F.col("text")).alias("s")).first()["s"]
     assert got == [*(f"{i}1 starts, ends with {i}{i}." for i in range(12)), "a!\x0bb"]
+
+
+def test_verdicts_name_whole_sentences(spark):
+    f = spark.createDataFrame([(1, "A", 0.5)], "ord int, fact_id string, value_num double")
+    got = reports.verdicts(spark.createDataFrame([(1, "One 777. 1 of the roads has 6543")], "id long, text string"), f, "id", "text").orderBy("place").collect()
+    assert [r["sentence"] for r in got] == ["One 777.", None, "1 of the roads has 6543"]
