@@ -65,3 +65,11 @@ def test_geodesic_distance_of_every_customer(spark):
     # Customer 0: from 180 W 80 S to 90 W 40 S; the sphere of the mean radius is within 0.6 %.
     a, b = np.radians((-80, -40))
     assert got[0] == pytest.approx(6371.0088 * np.arccos(np.sin(a) * np.sin(b) + np.cos(a) * np.cos(b) * np.cos(np.pi / 2)), rel=0.006)
+
+
+def test_obstacles_do_not_depend_on_the_order_of_rows(spark):
+    from tidemark.plans import graph_queries
+
+    rows = [(1, 7, False, False, 0.5, True, f"R{i}") for i in range(6)]
+    got = [graph_queries._obstacles(spark.createDataFrame(r, "component long, edge_id long, is_bridge boolean, major boolean, fraction double, boundary boolean, name string").coalesce(1)).first()["obstacles"] for r in (rows, rows[::-1], rows[3:] + rows[:3])]
+    assert got == ["Road R0 (50% flooded); Road R1 (50% flooded); Road R2 (50% flooded)"] * 3

@@ -70,10 +70,14 @@ def severed_bottlenecks(spark, sf):
 def cluster_obstacles(spark, sf):
     """The three worst different obstacles of each cluster, boundary ones if any."""
     e, c = _clusters(spark, sf)
-    x = graph.boundary(e.where("flooded"), c)
+    return _obstacles(graph.boundary(e.where("flooded"), c))
+
+
+def _obstacles(x):
+    """Edge ids repeat in the tables; of equals the name decides, so that the order of rows does not."""
     own = Window.partitionBy("component")
     x = x.withColumn("any", F.max(F.col("boundary").cast("int")).over(own)).where((F.col("any") == 0) | F.col("boundary"))
-    worst = [F.desc("is_bridge"), F.desc("major"), F.desc("fraction"), F.col("edge_id")]
+    worst = [F.desc("is_bridge"), F.desc("major"), F.desc("fraction"), F.col("edge_id"), F.col("name")]
     x = x.withColumn("k", F.row_number().over(Window.partitionBy("component", "is_bridge", "major", "name").orderBy(*worst))).where("k = 1")
     x = x.withColumn("r", F.row_number().over(own.orderBy(*worst))).where("r <= 3")
     text = F.format_string("%s %s (%d%% flooded)", F.when(F.col("is_bridge"), "Bridge on").when(F.col("major"), "Highway").otherwise("Road"), F.col("name"), F.floor(F.col("fraction") * 100 + 0.5))
