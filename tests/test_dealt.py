@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import shapes
-from tidemark.operators import spatial
+from tidemark.operators import damage, spatial
 
 
 def lines(spark):
@@ -23,6 +23,7 @@ def cells(spark):
 
 
 CASES = {
+    "bridge_approaches": lambda s: damage.bridges(pieces(s), cells(s), 0.5),
     "segment_cell_clip": lambda s: spatial.clipped_length(lines(s), cells(s)),
     "line_sampling_fraction": lambda s: spatial.sampled_fraction(lines(s), cells(s).withColumn("wet", F.col("row") > 2)),
 }

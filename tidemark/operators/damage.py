@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import shapes
 from tidemark.operators import spatial
+from tidemark.session import dealt
 
 
 def _inside(lines: DataFrame, cells: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def near_cells(points: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
     p = points.select("id", "x", "y", around.alias("o")).select("id", "x", "y", (block(F.col("x")) + F.col("o.i")).alias("bx"), (block(F.col("y")) + F.col("o.j")).alias("by"))
     c = cells.select("row", "col", block(F.col("col")).alias("bx"), block(F.col("row")).alias("by"))
-    return p.join(c, ["bx", "by"]).where(shapes.cell_distance(F.col("x"), F.col("y"), F.col("col"), F.col("row")) <= reach).select("id").distinct()
+    near = shapes.cell_distance(F.col("x"), F.col("y"), F.col("col"), F.col("row")) <= reach
+    return p.join(c, (p.bx == c.bx) & (p.by == c.by) & near, "left_semi").select("id").distinct()
 
 
 def _no_points(points: Column) -> Column:
@@ -55,7 +57,7 @@ def bridges(lines: DataFrame, flood: DataFrame, reach: float = 40.0) -> DataFram
     """id, approach_severed and status of bridges (id, points)."""
     cut = touched(lines, flood, reach).withColumn("cut", F.lit(True))
     lost, severed = _no_points(F.col("points")), F.coalesce("cut", F.lit(False))
-    return lines.join(cut, "id", "left").select("id", severed.alias("approach_severed"), F.when(lost, "not_assessable").when(severed, "affected").otherwise("not_affected").alias("status"))
+    return lines.join(dealt(cut), "id", "left").select("id", severed.alias("approach_severed"), F.when(lost, "not_assessable").when(severed, "affected").otherwise("not_affected").alias("status"))
 
 
 def buildings(rings: DataFrame, flood: DataFrame) -> DataFrame:
