@@ -23,6 +23,7 @@ def cells(spark):
 
 
 CASES = {
+    "edge_flood_status": lambda s: damage.edge_status(pieces(s), cells(s), 0.5),
     "bridge_approaches": lambda s: damage.bridges(pieces(s), cells(s), 0.5),
     "segment_cell_clip": lambda s: spatial.clipped_length(lines(s), cells(s)),
     "line_sampling_fraction": lambda s: spatial.sampled_fraction(lines(s), cells(s).withColumn("wet", F.col("row") > 2)),

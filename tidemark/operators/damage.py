@@ -76,7 +76,7 @@ def edge_status(edges: DataFrame, flood: DataFrame, reach: float = 40.0) -> Data
     """id and status of edges (id, points, is_bridge): affected if they meet the flood, bridges also by their ends."""
     whole = edges.where(~_no_points(F.col("points")))
     hit = _inside(whole, flood).where("inside > 0").select("id").unionByName(touched(whole.where("is_bridge"), flood, reach)).distinct().withColumn("hit", F.lit(True))
-    return edges.join(hit, "id", "left").select("id", F.when(F.col("hit"), "affected").otherwise("not_affected").alias("status"))
+    return edges.join(dealt(hit), "id", "left").select("id", F.when(F.col("hit"), "affected").otherwise("not_affected").alias("status"))
 
 
 def tagged_status(flooded: Column, status: Column) -> Column:
