@@ -65,11 +65,11 @@ def buildings(rings: DataFrame, flood: DataFrame) -> DataFrame:
     by the flooded cells under its box."""
     end = lambda f, c: F.floor(f(F.transform("ring", lambda p: p[c]))).cast("int")
     boxes = rings.where(F.size("ring") >= 3).select("id", "ring", F.explode(F.sequence(end(F.array_min, "y"), end(F.array_max, "y"))).alias("row"), end(F.array_min, "x").alias("c1"), end(F.array_max, "x").alias("c2"))
-    under = boxes.select("id", "ring", "row", F.explode(F.sequence("c1", "c2")).alias("col")).join(flood.select("row", "col").distinct(), ["row", "col"])
+    under = boxes.select("id", "ring", "row", F.explode(F.sequence("c1", "c2")).alias("col")).join(flood.select("row", "col").distinct(), ["row", "col"], "left_semi")
     part = under.select("id", shapes.let(shapes.clip_ring(F.col("ring"), F.col("col").cast("double"), F.col("row").cast("double")), shapes.ring_area).alias("part"))
     wet = part.groupBy("id").agg(F.sum("part").alias("wet")).where("wet > 0")
     share = F.least(F.lit(1.0), F.col("wet") / F.greatest(shapes.ring_area(F.col("ring")), F.lit(1e-4)))
-    return rings.join(wet, "id", "left").select("id", F.col("wet").isNotNull().alias("is_flooded"), F.when(F.col("wet").isNotNull(), share).otherwise(0.0).alias("confidence"))
+    return rings.join(dealt(wet), "id", "left").select("id", F.col("wet").isNotNull().alias("is_flooded"), F.when(F.col("wet").isNotNull(), share).otherwise(0.0).alias("confidence"))
 
 
 def edge_status(edges: DataFrame, flood: DataFrame, reach: float = 40.0) -> DataFrame:
