@@ -23,6 +23,7 @@ def cells(spark):
 
 
 CASES = {
+    "damage_summary": lambda s: damage.roads(pieces(s), cells(s), cells(s)),
     "building_damage": lambda s: damage.buildings(pieces(s).select("id", F.concat("points", F.array(shapes.point(F.lit(0), F.lit(5)))).alias("ring")), cells(s)),
     "edge_flood_status": lambda s: damage.edge_status(pieces(s), cells(s), 0.5),
     "bridge_approaches": lambda s: damage.bridges(pieces(s), cells(s), 0.5),

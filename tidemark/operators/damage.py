@@ -40,7 +40,7 @@ def roads(lines: DataFrame, flood: DataFrame, unseen: DataFrame, least: float =
     seen = flood.select("row", "col").distinct().join(unseen.select("row", "col").distinct(), ["row", "col"], "left_anti")
     whole = lines.where(~_no_points(F.col("points")))
     wet, hidden = _inside(whole, seen).withColumnRenamed("inside", "wet"), _inside(whole, unseen.select("row", "col").distinct()).withColumnRenamed("inside", "hidden")
-    x = lines.select("id", "points", shapes.line_length(F.col("points")).alias("size")).join(wet, "id", "left").join(hidden, "id", "left")
+    x = lines.select("id", "points", shapes.line_length(F.col("points")).alias("size")).join(dealt(wet), "id", "left").join(dealt(hidden), "id", "left")
     lost = _no_points(F.col("points")) | ((F.coalesce("hidden", F.lit(0.0)) > 0) & (F.col("size") - F.col("hidden") < left))
     flooded = F.when(lost, 0.0).otherwise(F.coalesce("wet", F.lit(0.0)))
     return x.select("id", F.when(lost, "not_assessable").when(flooded >= least, "affected").otherwise("not_affected").alias("status"), flooded.alias("flooded_length"), F.coalesce("size", F.lit(0.0)).alias("length"))
