@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import shapes
-from tidemark.operators import damage, spatial
+from tidemark.operators import damage, grid, raster, spatial
 
 
 def lines(spark):
@@ -37,3 +37,11 @@ def test_growing_tables_are_dealt_out(spark, name):
     plan = CASES[name](spark)._jdf.queryExecution().sparkPlan().toString()
     joins = re.findall(r"BroadcastHashJoin.*", plan)
     assert "SortMergeJoin [id" in plan and not [j for j in joins if "BuildLeft" in j or "[id#" in j]
+
+
+def test_rasters_are_dealt_out(spark):
+    r = cells(spark).withColumn("z", F.col("row") * 2.0).withColumn("pre", F.lit(-5.0)).withColumn("post", F.lit(-9.0))
+    layers = raster.terrain(r, "z", 10, 5, 400.0, 78.0, 39.0)
+    big = grid.large_enough(r.select("row", "col", F.col("row").alias("label")), 2)
+    for df in (layers, raster.mountain_mask(r, layers, 5, 2.0, -6.0, 4), big):
+        assert not re.findall(r"BroadcastHashJoin \[(?:row|r2|label|node)#", df._jdf.queryExecution().sparkPlan().toString())

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import dealt
+
 
 def _line(by: list[str], along: str):
     other = "row" if along == "col" else "col"
@@ -97,16 +99,16 @@ def label(df: DataFrame, mask: str, width: int, diagonal: bool = False) -> DataF
     r = runs(df, mask).withColumn("node", F.col("row").cast("long") * width + F.col("lo"))
     d = 1 if diagonal else 0
     up = r.select((F.col("row") + 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("node").alias("b"))
-    edges = r.join(up, "row").where((F.col("lo2") <= F.col("hi") + d) & (F.col("hi2") >= F.col("lo") - d)).select(F.col("node").alias("a"), "b")
+    edges = r.join(dealt(up), "row").where((F.col("lo2") <= F.col("hi") + d) & (F.col("hi2") >= F.col("lo") - d)).select(F.col("node").alias("a"), "b")
     found = components(edges)
-    r = r.join(found, "node", "left").select("row", "lo", "hi", F.coalesce("component", "node").alias("label"))
+    r = r.join(dealt(found), "node", "left").select("row", "lo", "hi", F.coalesce("component", "node").alias("label"))
     return r.select("row", F.explode(F.sequence("lo", "hi")).alias("col"), "label")
 
 
 def large_enough(labels: DataFrame, least: int) -> DataFrame:
     """The pixels of components of at least `least` pixels."""
     big = labels.groupBy("label").agg(F.count("*").alias("pixels")).where(F.col("pixels") >= least)
-    return labels.join(big, "label")
+    return labels.join(dealt(big), "label")
 
 
 def slope_aspect(df: DataFrame, elevation: str, px: float, py: float, by: list[str] | None = None) -> DataFrame:
@@ -142,7 +144,7 @@ def blocked(df: DataFrame, elevation: str, height: int, width: int, pixel: float
     at = lambda x, d, n: F.least(F.greatest(F.col(x) + d, F.lit(0)), F.lit(n - 1))
     eye = df.select("row", "col", F.col(elevation).alias("z"), way.alias("s")).select("row", "col", "z", "s.k", at("row", F.col("s.r"), height).alias("r2"), at("col", F.col("s.c"), width).alias("c2"))
     far = df.select(F.col("row").alias("r2"), F.col("col").alias("c2"), F.col(elevation).alias("z2"))
-    seen = eye.join(far, ["r2", "c2"])
+    seen = eye.join(dealt(far), ["r2", "c2"])
     return seen.groupBy("row", "col").agg(F.bool_or(F.atan2(F.col("z2") - F.col("z"), F.col("k") * pixel) > math.radians(90.0 - nominal)).alias("blocked"))
 
 

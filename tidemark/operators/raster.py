@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import shapes
 from tidemark.functions.expr import flood_confidence, is_finite
 from tidemark.operators import grid
+from tidemark.session import dealt
 
 
 def checked(pre, post, is_db: bool, drop: float, speckle: int, least: int) -> None:
@@ -122,7 +123,7 @@ def terrain(df: DataFrame, elevation: str, height: int, width: int, pixel: float
     observable (plausible and in no shadow or layover)."""
     t = grid.slope_aspect(df.select("row", "col", F.col(elevation).alias("elevation")), "elevation", pixel, pixel)
     t = t.withColumn("incidence", grid.incidence(F.col("slope"), F.col("aspect"), look, nominal)).withColumn("layover", grid.layover(F.col("slope"), F.col("aspect"), look, nominal))
-    t = t.join(grid.blocked(df, elevation, height, width, pixel, look, nominal), ["row", "col"])
+    t = t.join(dealt(grid.blocked(df, elevation, height, width, pixel, look, nominal)), ["row", "col"])
     t = t.withColumn("shadow", (F.col("incidence") >= 90.0) | F.col("blocked")).withColumn("plausible", F.col("slope") <= steepest)
     return t.select("row", "col", "elevation", "slope", "aspect", "incidence", "shadow", "layover", "plausible", (~F.col("shadow") & ~F.col("layover") & F.col("plausible")).alias("observable"))
 
@@ -130,13 +131,13 @@ def terrain(df: DataFrame, elevation: str, height: int, width: int, pixel: float
 def mountain_mask(df: DataFrame, layers: DataFrame, width: int, drop: float, water: float, least: int) -> DataFrame:
     """row, col, mask (1 flood, 0 dry, 255 without data) and confidence: inclusive dual test on observable pixels,
     closing, opening, 8-connected components of at least `least` pixels."""
-    x = df.join(layers.select("row", "col", "observable"), ["row", "col"])
+    x = df.join(dealt(layers.select("row", "col", "observable")), ["row", "col"])
     ok = is_finite(F.col("pre")) & is_finite(F.col("post"))
     x = x.select("row", "col", "pre", "post", ok.alias("ok"), (ok & F.col("observable") & (F.col("post") - F.col("pre") <= drop) & (F.col("post") <= water)).alias("m"))
     m = grid.opened(grid.closed(x.select("row", "col", "m"), "m"), "m")
     big = grid.large_enough(grid.label(m, "m", width, diagonal=True), least).select("row", "col", F.lit(True).alias("wet"))
     wet = F.col("ok") & F.coalesce("wet", F.lit(False))
-    return x.join(big, ["row", "col"], "left").select("row", "col", F.when(~F.col("ok"), 255).when(wet, 1).otherwise(0).alias("mask"), F.when(wet, flood_confidence(F.col("pre"), F.col("post"), drop, water)).otherwise(0.0).alias("confidence"))
+    return x.join(dealt(big), ["row", "col"], "left").select("row", "col", F.when(~F.col("ok"), 255).when(wet, 1).otherwise(0).alias("mask"), F.when(wet, flood_confidence(F.col("pre"), F.col("post"), drop, water)).otherwise(0.0).alias("confidence"))
 
 
 def mask_statistics(mask: DataFrame, pixel_m2: float) -> DataFrame:
