@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import graph_queries, registry
 from tests.test_oracle import SF, plain
@@ -73,3 +74,14 @@ def test_obstacles_do_not_depend_on_the_order_of_rows(spark):
     rows = [(1, 7, False, False, 0.5, True, f"R{i}") for i in range(6)]
     got = [graph_queries._obstacles(spark.createDataFrame(r, "component long, edge_id long, is_bridge boolean, major boolean, fraction double, boundary boolean, name string").coalesce(1)).first()["obstacles"] for r in (rows, rows[::-1], rows[3:] + rows[:3])]
     assert got == ["Road R0 (50% flooded); Road R1 (50% flooded); Road R2 (50% flooded)"] * 3
+
+
+def test_geodesic_steps_equal_the_fold(spark):
+    from tidemark.functions import expr
+
+    k = F.col("id")
+    lon, lat = (k * 37 % 3600) / 10.0 - 180, (k * 53 % 1600) / 10.0 - 80
+    df = expr.with_geodesic_km(spark.range(0, 6000, 100), lon, lat, lon / 2, lat / 2, "km")
+    got = df.select("id", "km", expr.geodesic_km(lon, lat, lon / 2, lat / 2).alias("fold")).collect()
+    assert len(got) == 60 and all(r["km"] == pytest.approx(r["fold"], rel=1e-12) for r in got)
+    assert "aggregate(" not in registry.QUERIES["geodesic_distance"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

@@ -95,7 +95,7 @@ def utm_project(spark, sf):
 def geodesic_distance(spark, sf):
     c = table(spark, sf, "customer")
     lon, lat = ((F.col("c_custkey") * 37) % 3600) / 10.0 - 180, ((F.col("c_custkey") * 53) % 1600) / 10.0 - 80
-    return c.select("c_custkey", rounded(expr.geodesic_km(lon, lat, lon / 2, lat / 2), 3).alias("km"))
+    return expr.with_geodesic_km(c.select("c_custkey"), lon, lat, lon / 2, lat / 2, "km").select("c_custkey", rounded(F.col("km"), 3).alias("km"))
 
 
 QUERIES = {f.__name__: f for f in (confusion_metrics, confusion_rollup, confusion_map, macro_vs_micro_iou, otsu_threshold, otsu_water_mask, histogram_density, telemetry_percentiles, grid_search_thresholds, radiometry_db, db_autodetect, pixel_area, utm_project, geodesic_distance)}
