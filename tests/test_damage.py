@@ -92,3 +92,20 @@ def test_bounds_and_extent(spark):
     assert tuple(r["a"]) == tuple(r["b"]) == (28.2, 27.8, 85.4, 85.1)
     m = spark.createDataFrame([(1, 0.0, 0.0), (1, 200.0, 0.0), (2, 5.0, 5.0)], "component long, x double, y double")
     assert {r["component"]: r["radius"] for r in cutoff.extent(m).collect()} == {1: 100.0, 2: 50.0}
+
+
+def test_network_sizes_sum_up_the_edges_of_the_network(spark):
+    import random
+
+    r = random.Random(5)
+    seg = lambda i, reach: (i, *[float(round(r.uniform(0, 60), 1)) for _ in range(2)], *[float(round(r.uniform(-reach, reach), 1)) for _ in range(2)])
+    rows = [[(i, x, y, x + dx, y + dy) for i, x, y, dx, dy in (seg(k % m, reach) for k in range(n))] for n, m, reach in ((60, 50, 40), (40, 40, 12))]
+    rows[0] += [(90, 0.0, 5.0, 30.0, 5.0), (91, 7.0, 0.0, 7.0, 30.0), (92, 3.0, 3.0, 3.0, 3.0), (93, None, 1.0, 2.0, 2.0)]
+    rows[1] += [(90, 10.0, 5.0, 20.0, 5.0), (91, 7.0, 12.0, 7.0, 40.0)]
+    roads, bridges = (spark.createDataFrame(x, "id long, x1 double, y1 double, x2 double, y2 double") for x in rows)
+    e = damage.network(roads, bridges, 16.0).groupBy("road", "is_bridge").agg(F.count("*").alias("parts"), F.sum("length").alias("length"), F.countDistinct("u").alias("starts"))
+    plain = lambda d: sorted((x["road"], x["is_bridge"], x["parts"], round(x["length"], 6), x["starts"]) for x in d.collect())
+    assert plain(damage.network_sizes(roads, bridges, 16.0)) == plain(e)
+    met = {x["id"]: x["cuts"] for x in damage.crossed(roads, bridges, 16.0).collect()}
+    every = roads.where("x1 IS NOT NULL").crossJoin(bridges.select(F.struct("x1", "y1", "x2", "y2").alias("o"))).select("id", F.explode(damage.shapes.crossing(F.struct("x1", "y1", "x2", "y2"), F.col("o"))).alias("t")).where("t > 0 AND t < 1").groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("cuts"))
+    assert met == {x["id"]: x["cuts"] for x in every.collect()} and len(met) > 20

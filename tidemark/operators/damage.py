@@ -5,7 +5,7 @@ are arrays of points in units of a cell. A layer's row without points can't be a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import shapes
@@ -92,21 +92,85 @@ def summary(road: DataFrame, bridge: DataFrame, building: DataFrame) -> DataFram
     return r.crossJoin(b).crossJoin(building.agg(F.count("*").alias("total_buildings"), F.count_if("is_flooded").alias("flooded_buildings")))  # one row each
 
 
+def _segment_cells(d: DataFrame, size: float) -> DataFrame:
+    """d with bx and by of every square cell that its segments (x1, y1, x2, y2) pass, a hair around them included."""
+    hair = lambda c: (F.abs(F.col(f"{c}1")) + F.abs(F.col(f"{c}2")) + size) * 1e-9
+    cells = lambda low, high, m: F.explode(F.sequence(F.floor((low - m) / size), F.floor((high + m) / size)))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    rows = d.select("*", cells(F.least("y1", "y2"), F.greatest("y1", "y2"), hair("y")).alias("by"))
+    place = lambda edge: F.least(F.greatest(F.coalesce((edge - F.col("y1")) / F.nullif(dy, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    t0, t1 = place(F.col("by") * size - hair("y")), F.when(dy == 0, 1.0).otherwise(place((F.col("by") + 1) * size + hair("y")))
+    rows = rows.withColumn("_a", F.col("x1") + dx * t0).withColumn("_b", F.col("x1") + dx * t1)
+    return rows.select("*", cells(F.least("_a", "_b"), F.greatest("_a", "_b"), hair("x")).alias("bx")).drop("_a", "_b")
+
+
+def crossed(roads: DataFrame, bridges: DataFrame, width: float) -> DataFrame:
+    """id and cuts of the roads that bridges meet between their ends: the sorted places from 0 to 1. Segments meet in
+    cells of a quarter of the width that they pass, where only pairs that cross are kept; no pair is moved."""
+    ends = ("x1", "y1", "x2", "y2")
+    a = _segment_cells(roads.select("id", *ends), width / 4)
+    b = _segment_cells(bridges.select(*ends), width / 4).select("bx", "by", *(F.col(c).alias(f"b_{c}") for c in ends))
+    c = lambda name, k: F.col(("b_" if k else "") + name)
+    apart = [(F.greatest(c(f"{v}1", i), c(f"{v}2", i)) >= F.least(c(f"{v}1", 1 - i), c(f"{v}2", 1 - i))) for v in "xy" for i in (0, 1)]
+    ax, ay, bx, by = (F.col(f"{p}{v}2") - F.col(f"{p}{v}1") for p in ("", "b_") for v in "xy")
+    dx, dy = F.col("b_x1") - F.col("x1"), F.col("b_y1") - F.col("y1")
+    det = F.nullif(ax * by - ay * bx, F.lit(0.0))
+    meets = F.coalesce(((dx * by - dy * bx) / det).between(0, 1) & ((dx * ay - dy * ax) / det).between(0, 1), dx * ay - dy * ax == 0)
+    pairs = a.join(dealt(b), (a.bx == b.bx) & (a.by == b.by) & apart[0] & apart[1] & apart[2] & apart[3] & meets)
+    segment = lambda p: F.struct(*(F.col(p + v).alias(v) for v in ends))
+    places = pairs.select("id", F.explode(shapes.crossing(segment(""), segment("b_"))).alias("t")).where("t > 0 AND t < 1")
+    return places.groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("cuts"))
+
+
+def _split(roads: DataFrame, bridges: DataFrame, width: float) -> DataFrame:
+    """roads with the places from 0 to 1 where their parts begin and end (cuts)."""
+    return roads.join(dealt(crossed(roads, bridges, width)), "id", "left").withColumn("cuts", F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+
+
+def _length(x1, y1, x2, y2) -> Column:
+    return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
+
+
+def _node(x: Column, y: Column, tolerance: float) -> Column:
+    return F.concat_ws(":", *[(F.rint(c / tolerance) * tolerance).cast("decimal(28,3)").cast("string") for c in (x, y)])
+
+
 def network(roads: DataFrame, bridges: DataFrame, width: float, least: float = 0.1, tolerance: float = 1.0) -> DataFrame:
     """Edges (road, part, u, v, length, is_bridge) of straight roads and bridges (id, x1, y1, x2, y2): roads are split
     where bridges meet them, parts under `least` and loops go, ends are merged on a grid of the tolerance, and the
-    bridges are edges of their own. Only segments whose boxes overlap are crossed."""
-    box = lambda d, k: d.select(F.col("id").alias(k), F.least("x1", "x2").alias("x1"), F.greatest("x1", "x2").alias("x2"), F.least("y1", "y2").alias("y1"), F.greatest("y1", "y2").alias("y2"))
-    met = spatial.overlapping(box(roads, "a"), box(bridges, "b"), width)
-    line = lambda d, k, s: d.select(F.col("id").alias(k), F.struct("x1", "y1", "x2", "y2").alias(s))
-    cuts = met.join(line(roads, "a", "s"), "a").join(line(bridges, "b", "o"), "b").select(F.col("a").alias("id"), F.explode(shapes.crossing(F.col("s"), F.col("o"))).alias("t"))
-    places = cuts.where("t > 0 AND t < 1").groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("cuts"))
-    x = roads.join(places, "id", "left").withColumn("cuts", F.concat(F.array(F.lit(0.0)), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.lit(1.0))))
+    bridges are edges of their own."""
+    x = _split(roads, bridges, width)
     x = x.select("*", F.posexplode(F.expr("zip_with(slice(cuts, 1, size(cuts) - 1), slice(cuts, 2, size(cuts) - 1), (a, b) -> struct(a AS a, b AS b))")).alias("part", "c"))
     at = lambda c, t: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col(f"c.{t}")
     parts = x.select("id", "part", at("x", "a").alias("x1"), at("y", "a").alias("y1"), at("x", "b").alias("x2"), at("y", "b").alias("y2"), F.lit(False).alias("is_bridge"))
     every = parts.unionByName(bridges.select("id", F.lit(0).alias("part"), "x1", "y1", "x2", "y2", F.lit(True).alias("is_bridge")))
-    node = lambda a, b: F.concat_ws(":", *[(F.rint(F.col(c) / tolerance) * tolerance).cast("decimal(28,3)").cast("string") for c in (a, b)])
-    size = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
-    edges = every.select(F.col("id").alias("road"), F.col("part").cast("int").alias("part"), node("x1", "y1").alias("u"), node("x2", "y2").alias("v"), size.alias("length"), "is_bridge")
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    edges = every.select(F.col("id").alias("road"), F.col("part").cast("int").alias("part"), _node(*ends[:2], tolerance).alias("u"), _node(*ends[2:], tolerance).alias("v"), _length(*ends).alias("length"), "is_bridge")
     return edges.where((F.col("is_bridge") | (F.col("length") >= least)) & (F.col("u") != F.col("v")))
+
+
+def network_sizes(roads: DataFrame, bridges: DataFrame, width: float, least: float = 0.1, tolerance: float = 1.0) -> DataFrame:
+    """road, is_bridge, parts, length and starts (different u) of the edges of network(), summed up beside each road, so
+    that no part is moved. The nodes along a straight line follow each other, so equal ones are neighbours; only rows
+    that share an id need their nodes by name."""
+    x = _split(roads, bridges, width).select("id", F.lit(False).alias("is_bridge"), "x1", "y1", "x2", "y2", "cuts", F.lit(least).alias("least"))
+    y = bridges.select("id", F.lit(True).alias("is_bridge"), "x1", "y1", "x2", "y2", F.array(F.lit(0.0), F.lit(1.0)).alias("cuts"), F.lit(0.0).alias("least"))
+    return _sizes(x, tolerance).unionByName(_sizes(y, tolerance))
+
+
+def _sizes(lines: DataFrame, tolerance: float) -> DataFrame:
+    at = lambda c, t: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * t
+    point = lambda t: F.struct(at("x", t).alias("x"), at("y", t).alias("y"))
+    grid = lambda p, c: F.rint(p[c] / tolerance) + 0.0  # noqa: E731  no negative zeros
+    corner = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), grid(p, "x").alias("i"), grid(p, "y").alias("j"))
+    corners = F.transform(F.transform("cuts", point), corner)
+    part = lambda p, q: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["i"].alias("i"), p["j"].alias("j"), _length(p["x"], p["y"], q["x"], q["y"]).alias("length"), ((p["i"] != q["i"]) | (p["j"] != q["j"])).alias("open"))
+    x = lines.withColumn("n", F.size("cuts") - 1).withColumn("corners", corners)
+    x = x.withColumn("kept", F.filter(F.zip_with(F.slice("corners", F.lit(1), F.col("n")), F.slice("corners", F.lit(2), F.col("n")), part), lambda p: (p["length"] >= F.col("least")) & p["open"]))
+    zero = F.struct(F.lit(0.0).alias("length"), F.lit(0).alias("starts"), F.lit(None).cast("double").alias("i"), F.lit(None).cast("double").alias("j"))
+    step = lambda s, p: F.struct((s["length"] + p["length"]).alias("length"), (s["starts"] + F.when((s["i"] == p["i"]) & (s["j"] == p["j"]), 0).otherwise(1)).alias("starts"), p["i"].alias("i"), p["j"].alias("j"))
+    x = x.withColumn("sums", F.aggregate("kept", zero, step))
+    names = F.when(F.count("*").over(Window.partitionBy("id")) > 1, F.transform("kept", lambda p: _node(p["x"], p["y"], tolerance)))
+    own = x.select(F.col("id").alias("road"), "is_bridge", F.size("kept").alias("parts"), "sums.length", "sums.starts", names.alias("names"))
+    whole = own.groupBy("road", "is_bridge").agg(F.sum("parts").alias("parts"), F.sum("length").alias("length"), F.max("starts").alias("starts"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    return whole.where("parts > 0").select("road", "is_bridge", "parts", "length", F.when(F.size("names") > 0, F.size("names")).otherwise(F.col("starts")).cast("long").alias("starts"))
