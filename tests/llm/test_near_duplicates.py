@@ -17,3 +17,13 @@ def test_near_duplicates_of_plain_ids(spark):
     rows = [(1, A), (1, A), (2, A), (3, B), (4, None), (5, "")]
     got = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "")
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == [(1, A), (3, B), (4, None), (5, "")]
+
+
+def test_texts_are_dealt_alike_at_every_size(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i // 2}", "en", "s", 9) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
